@@ -275,17 +275,20 @@ def promo2_run_length(spark, sf_dir):
 
 NEXT_SQL = f"CAST(min(CASE WHEN hol THEN n END) {RANGE.format(a=f'{H} FOLLOWING', b='UNBOUNDED FOLLOWING')} - (n + {H}) AS INT)"
 SINCE_SQL = f"CAST((n + {H}) - max(CASE WHEN hol THEN n END) {RANGE.format(a='UNBOUNDED PRECEDING', b=f'{H} FOLLOWING')} AS INT)"
-EVENT = F.col("is_state_holiday")
+
+
+def event() -> Column:
+    return F.col("is_state_holiday")
 
 
 @query(f"{BASE} SELECT store, date, {NEXT_SQL} AS next_holiday_days FROM pos")
 def next_holiday_days(spark, sf_dir):
-    return pos(spark, sf_dir).select(*KEYS, W.next_event_days(EVENT, H, w()).alias("next_holiday_days"))
+    return pos(spark, sf_dir).select(*KEYS, W.next_event_days(event(), H, w()).alias("next_holiday_days"))
 
 
 @query(f"{BASE} SELECT store, date, {SINCE_SQL} AS prev_holiday_days FROM pos")
 def prev_holiday_days(spark, sf_dir):
-    return pos(spark, sf_dir).select(*KEYS, W.since_event_days(EVENT, H, w()).alias("prev_holiday_days"))
+    return pos(spark, sf_dir).select(*KEYS, W.since_event_days(event(), H, w()).alias("prev_holiday_days"))
 
 
 def wave_sql(days: str) -> str:
@@ -294,7 +297,7 @@ def wave_sql(days: str) -> str:
 
 
 def with_waves(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_next", W.next_event_days(EVENT, H, w())).withColumn("_since", W.since_event_days(EVENT, H, w()))
+    df = df.withColumn("_next", W.next_event_days(event(), H, w())).withColumn("_since", W.since_event_days(event(), H, w()))
     return df.withColumn("pre_holiday_wave", W.wave(F.col("_next"), CFG.sigma)).withColumn("post_holiday_wave", W.wave(F.col("_since"), CFG.sigma))
 
 
@@ -544,14 +547,14 @@ def store_series(spark, sf_dir):
     return rounded4(results(spark, sf_dir).where("store = 7"))
 
 
-@query(f"{BASE}, {RESULTS_SQL} SELECT date, {sql4('mean_mae', 'mean_mae')}, {sql4('p05', 'p05')}, {sql4('p95', 'p95')} FROM by_day")
+@query(f"{BASE}, {RESULTS_SQL} SELECT date, {sql6('mean_mae', 'mean_mae')}, {sql6('p05', 'p05')}, {sql6('p95', 'p95')} FROM by_day")
 def daily_error_band(spark, sf_dir):
-    return rounded4(M.daily_band(results(spark, sf_dir)))
+    return rounded(M.daily_band(results(spark, sf_dir)))
 
 
-@query(f"{BASE}, {RESULTS_SQL} SELECT date, {sql4('mean_mae', 'mean_mae')}, {sql4('p05', 'p05')}, {sql4('p95', 'p95')} FROM (SELECT * FROM by_day ORDER BY mean_mae DESC, date LIMIT 10)")
+@query(f"{BASE}, {RESULTS_SQL} SELECT date, {sql6('mean_mae', 'mean_mae')}, {sql6('p05', 'p05')}, {sql6('p95', 'p95')} FROM (SELECT * FROM by_day ORDER BY mean_mae DESC, date LIMIT 10)")
 def top10_error_dates(spark, sf_dir):
-    return rounded4(M.worst_days(results(spark, sf_dir)))
+    return rounded(M.worst_days(results(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ training and search
