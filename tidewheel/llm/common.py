@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +71,11 @@ class Scratch:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def once_per_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    held = sys.modules.setdefault("tidewheel_worker", types.ModuleType("tidewheel_worker"))
+    if key not in held.__dict__:
+        held.__dict__[key] = make()
+    return held.__dict__[key]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Scratch, read_table, small_batches
+from tidewheel.llm.common import Scratch, once_per_worker, read_table, small_batches
 
 #: The token that ends each document.
 END_ID = 2
@@ -49,10 +50,11 @@ class Tokens:
         self.safe = re.compile(r" (?=\S)")
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def word(self, word: str) -> bytes:
-        ids = self.plain(f" {word}")
+        # letters after a blank are one piece, which needs no cutting up by the pattern
+        ids = array("I", self.encoding._encode_single_piece(f" {word}")).tobytes() if word.isalpha() else self.plain(f" {word}")
         if len(word) <= CACHE_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -84,7 +86,7 @@ def pieces(docs: DataFrame, ranks: str, budget: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        tokens = Tokens(ranks)
+        tokens = once_per_worker(f"tokens {ranks}", lambda: Tokens(ranks))
         for batch in batches:
             out = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
