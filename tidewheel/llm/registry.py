@@ -8,9 +8,11 @@ from tidewheel.llm.packing import op1_packing
 from tidewheel.llm.pii import op4_pii
 from tidewheel.llm.quality import op10_quality
 from tidewheel.llm.simhash import op9_simhash
+from tidewheel.llm.substrings import op2_substrings
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_forest": op5_forest,
