@@ -5,6 +5,7 @@ from tidewheel.llm.forest import op5_forest
 from tidewheel.llm.mixing import OP3_SQL, op3_mixing
 from tidewheel.llm.ogg import op6_media
 from tidewheel.llm.packing import op1_packing
+from tidewheel.llm.paragraphs import op7_paragraphs
 from tidewheel.llm.pii import op4_pii
 from tidewheel.llm.quality import op10_quality
 from tidewheel.llm.simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_forest": op5_forest,
     "op6_media": op6_media,
+    "op7_paragraphs": op7_paragraphs,
     "op8_chat": op8_chat,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
