@@ -133,12 +133,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Wordless documents, which no budget counts, come as often as their source's whole epochs.
     """
     _, plan = plan_mix(docs, Scratch(docs.sparkSession, "mix"), **options)
-    plan = plan.withColumnsRenamed({c: f"plan_{c}" for c in ("sid", "source_size", "target", "epochs")})
-    size, key = F.col("size_"), F.col("key_")
-    out = with_sources(docs.withColumn("size_", word_count()).withColumn("key_", sample_key(quality_weight())), plan)
-    extra = F.when(size > 0, (2 * extra_words(size, key) >= size).cast("long")).otherwise(F.lit(0))
-    out = out.withColumn("times_", F.col("plan_epochs") + extra)
-    return out.where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_")))).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), sample_key(quality_weight()).alias("key"))
+    out = with_sources(held, plan)
+    extra = F.when(F.col("size") > 0, (2 * extra_words(F.col("size"), F.col("key")) >= F.col("size")).cast("long")).otherwise(F.lit(0))
+    out = out.withColumn("times", F.col("epochs") + extra).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

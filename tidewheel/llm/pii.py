@@ -168,23 +168,24 @@ def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "redact")
-    terms = find_spans(docs, scratch, **thresholds).select("doc_id", "text_hash", F.filter("spans", _is_kind(len(KINDS))).alias("terms_")).where(F.size("terms_") > 0)
-    terms = scratch.write(terms.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "doc_id_", "text_hash": "text_hash_"}))
-    out = docs
+    terms = find_spans(docs, scratch, **thresholds).select("doc_id", "text_hash", F.filter("spans", _is_kind(len(KINDS))).alias("terms")).where(F.size("terms") > 0)
+    terms = scratch.write(terms.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "term_id", "text_hash": "term_hash"}))
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "text")
     if terms.limit(1).count():
-        out = docs.join(terms, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.xxhash64("text") == F.col("text_hash_")), "left")
-        ends = F.array_union(F.array(F.lit(0).cast("long")), F.transform("terms_", lambda x: x["end"]))
-        bits = F.zip_with(ends, F.transform("terms_", lambda x: x["start"]), lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, F.coalesce(b, F.lit(2147483647).cast("long")).cast("int") - a.cast("int")))
-        out = out.withColumn("text", F.when(F.col("terms_").isNull(), F.col("text")).otherwise(F.array_join(bits, "[TERM]"))).select(*docs.columns)
+        out = out.join(terms, F.col("doc_id").eqNullSafe(F.col("term_id")) & (F.xxhash64("text") == F.col("term_hash")), "left")
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("terms", lambda x: x["end"]))
+        bits = F.zip_with(ends, F.transform("terms", lambda x: x["start"]), lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, F.coalesce(b, F.length("text").cast("long")).cast("int") - a.cast("int")))
+        out = out.withColumn("text", F.when(F.col("terms").isNull(), F.col("text")).otherwise(F.array_join(bits, "[TERM]"))).select("row", "text")
     for k, kind in enumerate(KINDS):
         text = F.col("text")
         gaps = F.split(text, PATTERNS[kind], -1)
         zipped = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"))
         fresh = F.array_join(F.transform(zipped, _masked(k)), "")
         out = out.withColumn("text", F.when(text.rlike(GATES[kind]), fresh).otherwise(text))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

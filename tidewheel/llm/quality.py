@@ -159,8 +159,8 @@ def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, all columns kept."""
-    scored = with_score(docs, train(docs, labels), "score_")
-    return scored.where(F.col("score_") >= threshold).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return with_score(held, train(docs, labels)).where(F.col("score") >= threshold).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
