@@ -1,0 +1,33 @@
+"""A table with nulls in any column, empty and very long texts, ties, repeated rows and clashing names."""
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+
+CLASH = "size key uid score row spans node component fp n anchor around bands text_hash class found target budget epochs times sid terms term_id keep_id cut_key kind start end first last".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n: int, seed: int) -> str:
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(n))
+
+
+LONG = words(40_000, 1)
+ROWS = [
+    (1, None, "en", "a", None), (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \n\t ", "en", None, 4), (4, LONG, "de", "b", len(LONG)),
+    (5, "one two three", "en", "b", 13), (5, "one two three", "en", "b", 13), (6, "ONE two three", "en", "b", 13), (7, "one two three", "en", None, 13),
+    (None, "an id is missing", "en", "c", 16), (None, None, None, None, None), (8, "ünïcödé 漢字 🙂 mail me: x.y@z.example.org now", "en", "c", None),
+    (9, words(300, 2), "fr", "c", None), (10, words(300, 2) + " tail", "fr", "c", None), (11, "a" * 5000, "en", "é", None), (12, "word " * 3000, "en", "é", None),
+]
+
+
+def documents(spark: SparkSession, rows=None) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA)
+    return df.withColumns({c: F.lit(f"x{k}") for k, c in enumerate(CLASH)}).repartition(3)
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return documents(spark, []).where("false")

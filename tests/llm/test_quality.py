@@ -1,0 +1,55 @@
+"""The classifier on held-out rows, with few labels and on messy tables."""
+
+import zlib
+
+from messy import ROWS, documents, empty
+from pyspark.sql import functions as F
+
+from tidewheel.llm import quality as Q
+
+DATA = "/root/testdata/sf0.1"
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_rows(spark):
+    """Accuracy on rows whose labels were never seen."""
+    out = Q.op10_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out")
+    rows = out.collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert sum(r.predicted for r in good) > 0.98 * len(good) and sum(1 - r.predicted for r in bad) > 0.85 * len(bad)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert sum((r.score - r.quality) ** 2 for r in rows) / len(rows) < 0.04
+
+
+def test_the_fold_and_the_columns(spark):
+    out = Q.op10_quality(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out.collect())
+
+
+def test_labels_of_the_held_out_fold_and_other_columns_are_not_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    given = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    flipped = given.withColumn("quality", F.when(Q.held_out(), 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", 1 - F.col("toxic"))
+    assert Q.train(docs, given) == Q.train(docs.withColumn("lang", F.lit("x")), flipped)
+
+
+def test_few_or_no_labels_give_the_prior(spark):
+    docs = documents(spark)
+    assert Q.train(docs, labels(spark, [(1, 1, 0)]).where("false")).prior == 0.5
+    model = Q.train(docs, labels(spark, [(4, 1, 0), (5, None, 0), (None, 1, 0), (6, 7, 0)]))
+    assert model.weights == () and {r.score for r in Q.with_score(docs, model).collect()} == {model.prior}
+
+
+def test_messy_documents_and_empty_table(spark):
+    docs, given = documents(spark), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = Q.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), given)
+    rows = Q.with_score(docs.select("doc_id", "text"), model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
+    same = [r.score for r in rows if r.text == "one two three"]
+    assert len(set(same)) == 1 and len(same) == 3
+    kept = Q.keep_good(docs, given)
+    assert kept.columns == docs.columns and Q.keep_good(empty(spark), given).count() == 0
