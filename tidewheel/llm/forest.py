@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 4, margin
     dealt = members.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _block_links(frame, int(key[2]), key[3] == key[4], least)
 
     found = scratch.write(dealt.select(*group, "a", "b", "side", "uid", "copies", "leaves", "unit").groupBy(*group, "a", "b").applyInPandas(compare, "uid long, links long, root long"))

@@ -203,7 +203,7 @@ def _unpacked(raw: bytes) -> list[list[int]]:
 def _epoch(rows: DataFrame, budget: int, generations: int, population: int, seed: int) -> DataFrame:
     """(block, island, elite: list of packings, bins) from rows of a histogram or of elites."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
         seeds = [_unpacked(raw) for elite in frame["elite"] if elite is not None for raw in elite]
         if seeds:
