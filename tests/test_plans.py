@@ -171,3 +171,30 @@ def test_boosted_trees_train_save_and_predict(spark, tmp_path):
     again = model.load_or_fit(spark, str(tmp_path / "m"), data, {"max_depth": 9}, 1)
     assert model.predict(fitted, data).exceptAll(model.predict(again, data)).count() == 0
     assert model.rmse(fitted, data) < 0.3
+
+
+def test_the_whole_run_from_files(spark, tmp_path):
+    import random
+
+    from tidewheel.__main__ import main
+
+    draw = random.Random(1)
+    lines = ["Store,DayOfWeek,Date,Sales,Customers,Open,Promo,StateHoliday,SchoolHoliday"]
+    for store in (1, 2):
+        for k in range(60):
+            day = D("2015-01-01") + dt.timedelta(days=k)
+            lines.append(f"{store},{day.isoweekday()},{day},{100 * store + 10 * (k % 7) + draw.randint(0, 5)},1,1,{k % 2},{'a' if k == 0 else 0},0")
+    (tmp_path / "train.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "store.csv").write_text("Store,StoreType,Assortment,CompetitionDistance,CompetitionOpenSinceMonth,CompetitionOpenSinceYear,Promo2,Promo2SinceWeek,Promo2SinceYear,PromoInterval\n1,a,b,1,1,2014,0,,,\n2,b,b,1,,,1,3,2014,x\n")
+    (tmp_path / "c.yaml").write_text(
+        "path:\n  store_trial_artifacts: true\nhorizon: 3\nfeature_engineering:\n  windows:\n    - '7D'\n  diffs:\n    days: [1]\n  lags:\n    days: [0, 7]\ncross_validation:\n  n_outer_splits: 1\n  n_inner_splits: 1\n"
+        "hypertuning:\n  num_trials: 2\n  num_jobs: 1\n  num_boost_rounds: 2\nhyperparameters:\n  max_depth:\n    method: suggest_int\n    low: 2\n    high: 3\n    log: false\n"
+    )
+    args = ["--config", str(tmp_path / "c.yaml"), "--input_dir", str(tmp_path), "--output_dir", str(tmp_path / "out")]
+    main(args)
+    first = (tmp_path / "out" / "fold_00.journal").read_text()
+    main(args)  # nothing is left to search
+    assert (tmp_path / "out" / "fold_00.journal").read_text() == first and len(first.splitlines()) == 2
+    assert (tmp_path / "out" / "fold_00" / "trial_0001" / "cv_history.csv").read_text().startswith("round,mean,std\n0,") and (tmp_path / "out" / "fold_00" / "trial_0001" / "fold_0").is_dir()
+    rows = panel.read_predictions(spark, str(tmp_path / "out" / "predictions.csv")).collect()
+    assert len(rows) == 6 and all(abs(r.sales_predicted - r.sales_actual) < 0.5 * r.sales_actual for r in rows)

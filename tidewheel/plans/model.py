@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -41,12 +42,17 @@ def regressor(params: dict, rounds: int, seed: int = 42) -> GBTRegressor:
     )
 
 
-def cv_curve(train: DataFrame, cv: TimeSeriesCV, params: dict, rounds: int, patience: int = 50, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(round, mean, std) of the folds' RMSE after each round, until ``patience`` rounds bring no gain."""
+def cv_curve(train: DataFrame, cv: TimeSeriesCV, params: dict, rounds: int, patience: int = 50, seed: int = 42, collect: list | None = None) -> list[tuple[int, float, float]]:
+    """(round, mean, std) of the folds' RMSE after each round, until ``patience`` rounds bring no gain.
+
+    The folds' models are appended to ``collect``, if it is given.
+    """
     curves = []
     for fit_rows, test_rows in cv.split(train):
         pipe = assembler(fit_rows).fit(numeric(fit_rows))
         model = regressor(params, rounds, seed).fit(pipe.transform(numeric(fit_rows)))
+        if collect is not None:
+            collect.append(PipelineModel([*pipe.stages, model]))
         curves.append([math.sqrt(v) for v in model.evaluateEachIteration(pipe.transform(numeric(test_rows)), "squared")])
     out, best, at = [], math.inf, 0
     for k, values in enumerate(zip(*curves)):
@@ -83,3 +89,12 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def rmse(model: PipelineModel, rows: DataFrame) -> float:
     return RegressionEvaluator(labelCol="y").evaluate(model.transform(numeric(rows)))
+
+
+def save_trial(folder: str, curve: list[tuple[int, float, float]], models: list[PipelineModel]) -> None:
+    """A trial's curve as CSV, and its folds' models."""
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "cv_history.csv"), "w", encoding="utf-8") as out:
+        out.write("round,mean,std\n" + "".join(f"{k},{mean},{std}\n" for k, mean, std in curve))
+    for k, fold in enumerate(models):
+        fold.write().overwrite().save(os.path.join(folder, f"fold_{k}"))

@@ -67,7 +67,7 @@ class Study:
 
     Parameters of a trial depend on the seed and its number alone, so a resumed study draws
     what an uninterrupted one would have drawn. ``objective(params, report)`` returns a loss;
-    ``report(round, loss)`` may stop it.
+    ``report(round, loss)`` may stop it, and ``report.trial`` is the trial's number.
     """
 
     def __init__(self, journal: Journal, space: dict[str, Range], tuning: Tuning):
@@ -86,6 +86,7 @@ class Study:
             if len(earlier) >= self.tuning.num_startup_trials and curve[str(step)] > statistics.median(earlier):
                 raise Pruned
 
+        report.trial = trial
         return report
 
     def _run(self, trial: int, objective, deadline: float) -> None:
