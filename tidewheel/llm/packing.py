@@ -200,8 +200,11 @@ def _unpacked(raw: bytes) -> list[list[int]]:
     return bins
 
 
-def _epoch(rows: DataFrame, budget: int, generations: int, population: int, seed: int) -> DataFrame:
-    """(block, island, elite: list of packings, bins) from rows of a histogram or of elites."""
+def _epoch(rows: DataFrame, budget: int, generations: int, population: int, seed: int, tasks: int) -> DataFrame:
+    """(block, island, elite: list of packings, bins) from rows of a histogram or of elites.
+
+    The rows are few bytes but much work, so they are dealt to a set number of tasks.
+    """
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
@@ -213,7 +216,7 @@ def _epoch(rows: DataFrame, budget: int, generations: int, population: int, seed
         found = evolve(lengths, seeds, budget, generations, population, rng)
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "elite": [[_packed(b) for b in found]], "bins": [len(found[0])]})
 
-    return rows.groupBy("block", "island").applyInPandas(run, "block long, island int, elite array<binary>, bins int")
+    return rows.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(run, "block long, island int, elite array<binary>, bins int")
 
 
 def _places(best: DataFrame, budget: int, least_fill: int) -> DataFrame:
@@ -243,16 +246,18 @@ def pack(pieces: DataFrame, scratch: Scratch, budget: int = 1024, block_items: i
     whole = pieces.where(F.col("length") == budget).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
     loose = pieces.where(F.col("length") < budget)
     done = [whole]
+    default_tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(passes):
         count = loose.count()
         if not count:
             break
         blocks = -(-count // block_items)
+        tasks = min(blocks * islands, max(default_tasks, blocks * islands // 16))
         items = loose.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(blocks)))
         counted = items.groupBy("block", "length").agg(F.count("*").alias("n"))
         rows = counted.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elite", F.lit(None).cast("array<binary>"))
         for epoch in range(epochs):
-            state = scratch.write(_epoch(rows, budget, generations, population, 1000 * turn + epoch))
+            state = scratch.write(_epoch(rows, budget, generations, population, 1000 * turn + epoch, tasks))
             moved = F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")
             rows = state.select("block", "island", "elite").unionByName(state.select("block", moved.alias("island"), F.slice("elite", 1, 1).alias("elite")))
         best = state.groupBy("block").agg(F.min_by(F.col("elite")[0], F.struct("bins", "island")).alias("best"))
