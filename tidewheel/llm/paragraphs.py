@@ -1,6 +1,8 @@
 """Near-duplicate paragraphs by MinHash banding, verified and clustered.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Equal paragraphs are one to begin with.
+A paragraph begins with a line and goes on by whole lines until it has ``MIN_WORDS`` words, so
+that a passage is found wherever it stands among other lines, in however short lines it comes.
+Equal paragraphs are one to begin with.
 Bands are tuned so that a pair at the similarity asked for collides almost surely. In each
 bucket all members are first compared with one of them, which joins a group of near copies by
 as many comparisons as it has members; then only members of different components are compared
@@ -34,6 +36,12 @@ def tuned_bands(similarity: float, recall: float, rows: int = 4) -> int:
     return bands
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first, first + 1, ... of each range one after another, and where each range begins."""
+    cut = np.concatenate(([0], np.cumsum(count)))[:-1]
+    return np.arange(int(count.sum())) + np.repeat(first - cut, count), cut
+
+
 class Paragraphs:
     """Words, shingles and signatures of the paragraphs of many texts at once."""
 
@@ -46,46 +54,45 @@ class Paragraphs:
         white[[9, 10, 11, 12, 13, 32]] = True
         self.white = white
 
-    def load(self, texts: list[bytes], min_words: int) -> None:
-        """Finds the paragraphs of the texts: row, start and end byte, words, hash, shingle range."""
+    def load(self, texts: list[bytes], min_words: int = 0) -> None:
+        """Finds the paragraphs of the texts: row, start and end byte, words, hash, shingle range.
+
+        Without ``min_words`` each text with words is one paragraph.
+        """
         buffer = b"\n".join(t.lower() for t in texts)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        offsets = np.concatenate(([0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))))
         self.hasher.load(buffer)
         data = np.frombuffer(buffer, np.uint8)
         blank = np.concatenate(([True], self.white[data], [True]))
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         starts, ends = edge[::2], edge[1::2]
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts)
+        line = np.searchsorted(np.flatnonzero(data == 10) if min_words else offsets[1:] - 1, starts)
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate((first, [len(line)])))
-        keep = count >= min_words
-        first, count = first[keep], count[keep]
+        row = np.searchsorted(offsets, starts[first], "right") - 1
+        stop = np.concatenate((first[1:], [len(line)]))  # the words after each line
+        # a line goes on until it has enough words, as long as its text does
+        last = np.searchsorted(stop, first + max(1, min_words))
+        keep = last < len(first)
+        keep[keep] = row[last[keep]] == row[keep]
+        first, count, self.row = first[keep], (stop[last[keep]] - first[keep]).astype(np.int64), row[keep]
         words = self.hasher.some(starts, ends)
         shingles = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(shingles)]
         self.shingles = _mixed(shingles)
         self.first, self.n_shingles, self.count = first, np.maximum(count - SHINGLE + 1, 1), count
-        begin, self.stop = starts[first], ends[first + count - 1]
-        self.row = np.searchsorted(offsets, begin, "right") - 1
-        self.start, self.end = begin - offsets[self.row], self.stop - offsets[self.row]
-        if len(first):
-            at = np.concatenate([np.arange(f, f + c) for f, c in zip(first.tolist(), count.tolist())])
-            place = at - np.repeat(first, count)
-            cut = np.concatenate(([0], np.cumsum(count)[:-1]))
-            self.hash = np.add.reduceat(_mixed(words[at] ^ _mixed(place.astype(np.uint64))), cut)
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        begin = starts[first]
+        self.start, self.end = begin - offsets[self.row], ends[first + count - 1] - offsets[self.row]
+        at, cut = _spread(first, count)
+        place = at - np.repeat(first, count)
+        self.hash = np.add.reduceat(_mixed(words[at] ^ _mixed(place.astype(np.uint64))), cut) if len(first) else np.zeros(0, np.uint64)
 
     def signatures(self) -> np.ndarray:
         """A row of band hashes for each paragraph."""
         n = len(self.first)
         if not n:
             return np.zeros((0, self.bands), np.uint64)
-        at = np.concatenate([np.arange(f, f + c) for f, c in zip(self.first.tolist(), self.n_shingles.tolist())])
-        cut = np.concatenate(([0], np.cumsum(self.n_shingles)[:-1]))
+        at, cut = _spread(self.first, self.n_shingles)
         held = self.shingles[at]
         out = np.zeros((n, self.bands), np.uint64)
         for k, (factor, shift) in enumerate(zip(self.factors, self.shifts)):
@@ -149,7 +156,7 @@ def _shingle_sets(keyed: DataFrame, wanted: DataFrame, scratch: Scratch) -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 nodes = [w["node"] for w in row["wanted"]]
-                made.load([row["text"][w["start"] : w["end"]] for w in row["wanted"]], 1)
+                made.load([row["text"][w["start"] : w["end"]] for w in row["wanted"]])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in made.sets()], out.field(1).type)], schema=out)
 
     return keyed.join(right, on).select("text", "wanted").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
@@ -168,10 +175,13 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     (doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, class_size, kept):
     places are bytes of the text; a class is a component of paragraphs linked at the similarity,
-    named by its first paragraph (by doc_id, then place), the one that is kept. Paragraphs count
-    from 0 among those of a text that are long enough. Null and empty texts have none. Rows that
+    named by its first paragraph (by doc_id, then place), the one that is kept. A paragraph begins
+    at each line that has words, and paragraphs of short lines overlap; they count from 0 among
+    those of a text that become long enough. Null and empty texts have none. Rows that
     repeat a document count once each; no rows give an empty result. Other columns are not read.
     """
+    if min_words < SHINGLE:
+        raise ValueError(f"a paragraph must have {SHINGLE} words at least")
     spark = docs.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "paragraphs")
