@@ -26,7 +26,8 @@ def documents(spark: SparkSession, rows=None) -> DataFrame:
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA)
-    return df.withColumns({c: F.lit(f"x{k}") for k, c in enumerate(CLASH)}).repartition(3)
+    other = {"a map": F.create_map(F.lit("k"), F.col("doc_id")), "a.list": F.array("doc_id")}
+    return df.withColumns({c: F.lit(f"x{k}") for k, c in enumerate(CLASH)} | other).repartition(3)
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a Python worker holds one batch of whole texts at a time.
@@ -73,6 +73,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, apart from whatever an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def once_per_worker(key: str, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
     held = sys.modules.setdefault("tidewheel_worker", types.ModuleType("tidewheel_worker"))

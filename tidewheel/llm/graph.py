@@ -30,6 +30,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
     folder; rounds end when the edges no longer change.
     """
     now = scratch.write(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
     for _ in range(max_rounds):
         new = scratch.write(_small_star(_large_star(now)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Scratch, read_table, text_or_empty
+from tidewheel.llm.common import Scratch, read_table, text_or_empty, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that speak against a text; their share lowers its quality weight.
@@ -133,7 +133,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Wordless documents, which no budget counts, come as often as their source's whole epochs.
     """
     _, plan = plan_mix(docs, Scratch(docs.sparkSession, "mix"), **options)
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), sample_key(quality_weight()).alias("key"))
+    held = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), sample_key(quality_weight()).alias("key"))
     out = with_sources(held, plan)
     extra = F.when(F.col("size") > 0, (2 * extra_words(F.col("size"), F.col("key")) >= F.col("size")).cast("long")).otherwise(F.lit(0))
     out = out.withColumn("times", F.col("epochs") + extra).where("times > 0")

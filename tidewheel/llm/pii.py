@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Scratch, read_table, text_or_empty
+from tidewheel.llm.common import Scratch, read_table, text_or_empty, whole_row
 
 # The base kinds in order. Possessive quantifiers and the guards on where a match
 # may begin change no match; they keep the matcher linear and free of recursion on long texts.
@@ -170,7 +170,7 @@ def redact(docs: DataFrame, **thresholds) -> DataFrame:
     scratch = Scratch(spark, "redact")
     terms = find_spans(docs, scratch, **thresholds).select("doc_id", "text_hash", F.filter("spans", _is_kind(len(KINDS))).alias("terms")).where(F.size("terms") > 0)
     terms = scratch.write(terms.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "term_id", "text_hash": "term_hash"}))
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "text")
+    out = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), "text")
     if terms.limit(1).count():
         out = out.join(terms, F.col("doc_id").eqNullSafe(F.col("term_id")) & (F.xxhash64("text") == F.col("term_hash")), "left")
         ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("terms", lambda x: x["end"]))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import read_table, small_batches
+from tidewheel.llm.common import read_table, small_batches, whole_row
 
 #: Labelled rows of each class for the dictionaries, of both for calibration, and the longest of them in bytes.
 DICTIONARY_ROWS, CALIBRATION_ROWS, TRAIN_BYTES = 400, 3000, 32_768
@@ -159,7 +159,7 @@ def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, all columns kept."""
-    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    held = docs.select(whole_row(docs).alias("row"), "text")
     return with_score(held, train(docs, labels)).where(F.col("score") >= threshold).select("row.*")
 
 

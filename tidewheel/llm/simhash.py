@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Scratch, read_table, small_batches
+from tidewheel.llm.common import Scratch, read_table, small_batches, whole_row
 from tidewheel.llm.graph import components
 
 #: Shingles whose bits are counted at once.
@@ -138,13 +138,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, words: int
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """Keeps one document of each group, that with the smallest id, and all columns of ``docs``.
 
-    Repeated rows of one id count as one document; of differing rows the least is kept.
+    Repeated rows of one id count as one document; of differing rows one is kept, the same in every run.
     """
     found = near_duplicates(docs, None, words, distance)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    single = docs.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return single.join(keep, single.doc_id.eqNullSafe(keep.keep_id), "left_semi").select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    single = docs.groupBy("doc_id").agg(F.min_by(whole_row(docs), F.xxhash64(*plain)).alias("row"))
+    return single.join(keep, single.doc_id.eqNullSafe(keep.keep_id), "left_semi").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
