@@ -34,7 +34,7 @@ def planted(seed=6):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
+@pytest.mark.parametrize("crowd", [20_000, 1])
 def test_planted_repeats(spark, monkeypatch, crowd):
     monkeypatch.setattr(S, "CROWD", crowd)
     texts = planted()

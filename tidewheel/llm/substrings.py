@@ -25,8 +25,9 @@ from tidewheel.llm.common import Scratch, read_table, small_batches
 GRAM = 128
 #: Bytes that are hashed at once; a position in them takes POSITION_BITS of a window's minimum.
 BUFFER, POSITION_BITS = 1 << 21, 24
-#: Surroundings of one anchor beyond which it is dealt out by fingerprint; surroundings of a task.
-CROWD, TASK_CONTEXTS = 256, 20_000
+#: Surroundings that a task should hold (about 50 MB of suffixes). An anchor with more than that
+#: is no task's: its suffixes are dealt out by fingerprint.
+TASK_CONTEXTS = CROWD = 20_000
 #: Documents with surroundings to extract, up to which their list is broadcast.
 BROADCAST_DOCS = 200_000
 MASK64 = (1 << 64) - 1
