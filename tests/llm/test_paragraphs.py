@@ -12,17 +12,13 @@ def brute(rows, min_words=25, similarity=0.8):
     found = []
     for doc_id, text in rows:
         k = 0
-        lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
-        lines = [line for line in lines if line]
-        for j in range(len(lines)):
-            w = []
-            for line in lines[j:]:
-                w = w + line
-                if len(w) >= min_words:
-                    break
-            if len(w) >= min_words:
-                found.append((doc_id, k, len(w), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}))
-                k += 1
+        held = []
+        for line in (text or "").encode().lower().split(b"\n"):
+            w = line.split()
+            held = w if len(w) >= min_words else held + w
+            if len(held) >= min_words:
+                found.append((doc_id, k, len(held), {tuple(held[i : i + 5]) for i in range(len(held) - 4)}))
+                k, held = k + 1, []
     parent = list(range(len(found)))
 
     def root(x):
@@ -63,7 +59,8 @@ def test_near_copies_and_shared_passages(spark):
     rows = [(k, f"{words(30, 100 + k)}\n{passage if k % 3 else changed(passage, 1, k)}\n{words(40, 200 + k)}\nshort line") for k in range(40)]
     rows += [(100 + k, changed(words(200, 7), 3, k)) for k in range(30)] + [(200, words(200, 7)), (201, words(200, 7).upper() + "\r"), (202, changed(words(200, 7), 60, 3))]
     short = [words(6, 300 + k) for k in range(12)]
-    rows += [(300 + k, "\n".join([words(3 + k, 400 + k), "\r\n", *short, words(4, 500 + k)])) for k in range(5)]
+    rows += [(300 + k, "\n".join([words(30 + k, 400 + k), "\r\n", *short, words(4, 500 + k)])) for k in range(5)]
+    rows.append((400, "of.\n" + words(60, 77) + "\nno."))
     want = brute(rows)
     assert got(P.paragraph_classes(documents(spark, [(d, t, None, None, None) for d, t in rows]))) == want
     assert max(want.values()) >= 32
@@ -88,4 +85,4 @@ def test_places_are_bytes_of_the_text(spark):
 
 def test_tuned_bands():
     b = P.tuned_bands(0.8, 0.998)
-    assert 1 - (1 - 0.8**4) ** b >= 0.998 > 1 - (1 - 0.8**4) ** (b - 1)
+    assert 1 - (1 - 0.8**3) ** b >= 0.998 > 1 - (1 - 0.8**3) ** (b - 1)

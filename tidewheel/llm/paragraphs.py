@@ -1,8 +1,7 @@
 """Near-duplicate paragraphs by MinHash banding, verified and clustered.
 
-A paragraph begins with a line and goes on by whole lines until it has ``MIN_WORDS`` words, so
-that a passage is found wherever it stands among other lines, in however short lines it comes.
-Equal paragraphs are one to begin with.
+A paragraph is a line of ``MIN_WORDS`` words or more; short lines that stand together make up
+paragraphs of at least as many words. Equal paragraphs are one to begin with.
 Bands are tuned so that a pair at the similarity asked for collides almost surely. In each
 bucket all members are first compared with one of them, which joins a group of near copies by
 as many comparisons as it has members; then only members of different components are compared
@@ -28,7 +27,7 @@ BUFFER = 1 << 21
 KEY = ("doc_id", "text_hash")
 
 
-def tuned_bands(similarity: float, recall: float, rows: int = 4) -> int:
+def tuned_bands(similarity: float, recall: float, rows: int = 3) -> int:
     """The fewest bands of so many rows in which a pair at the similarity collides with the recall."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -42,10 +41,27 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(int(count.sum())) + np.repeat(first - cut, count), cut
 
 
+def _runs_of_lines(row: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each paragraph: a line with enough words, or short lines that stand
+    together in a text, as many as it takes; what is left of them before a long line is none."""
+    chosen, ends, words, begin, text = [], [], 0, 0, -1
+    for k, (r, n) in enumerate(zip(row.tolist(), sizes.tolist())):
+        if r != text or n >= least:
+            words, text = 0, r
+        if not words:
+            begin = k
+        words += n
+        if words >= least:
+            chosen.append(begin)
+            ends.append(k)
+            words = 0
+    return np.array(chosen, np.int64), np.array(ends, np.int64)
+
+
 class Paragraphs:
     """Words, shingles and signatures of the paragraphs of many texts at once."""
 
-    def __init__(self, bands: int, rows: int = 4):
+    def __init__(self, bands: int, rows: int = 3):
         self.hasher, self.bands, self.rows = Hasher(), bands, rows
         draw = np.random.default_rng(77)
         self.factors = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,11 +86,9 @@ class Paragraphs:
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         row = np.searchsorted(offsets, starts[first], "right") - 1
         stop = np.concatenate((first[1:], [len(line)]))  # the words after each line
-        # a line goes on until it has enough words, as long as its text does
-        last = np.searchsorted(stop, first + max(1, min_words))
-        keep = last < len(first)
-        keep[keep] = row[last[keep]] == row[keep]
-        first, count, self.row = first[keep], (stop[last[keep]] - first[keep]).astype(np.int64), row[keep]
+        chosen, last = _runs_of_lines(row, stop - first, min_words)
+        first, row, stop = first[chosen], row[chosen], stop[last]
+        count, self.row = (stop - first).astype(np.int64), row
         words = self.hasher.some(starts, ends)
         shingles = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
@@ -175,9 +189,8 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     (doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, class_size, kept):
     places are bytes of the text; a class is a component of paragraphs linked at the similarity,
-    named by its first paragraph (by doc_id, then place), the one that is kept. A paragraph begins
-    at each line that has words, and paragraphs of short lines overlap; they count from 0 among
-    those of a text that become long enough. Null and empty texts have none. Rows that
+    named by its first paragraph (by doc_id, then place), the one that is kept. Paragraphs
+    count from 0 in their text; short lines that do not make one up are in none. Null and empty texts have none. Rows that
     repeat a document count once each; no rows give an empty result. Other columns are not read.
     """
     if min_words < SHINGLE:
