@@ -52,21 +52,30 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: list[str] = []
 
-    def write(self, df: DataFrame, *by: str) -> DataFrame:
+    def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
-        self.paths[id(out)] = path
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.remove(path)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, which what is returned still reads."""
+        kept = {df._scratch_path for df in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            self._delete(path)
 
 
 def text_or_empty(column: str = "text"):

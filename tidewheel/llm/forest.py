@@ -172,6 +172,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, trees: int = 4, margin
     named = single.join(links, "uid", "left").join(parts, single.uid == parts.node, "left").withColumn("component", F.coalesce("component", "uid"))
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
     known = scratch.write(named.join(least_id, "component").select(F.col("label").alias("label_"), F.col("embedding").alias("embedding_"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
+    scratch.only(known)
     out = rows.join(known, F.col("valid") & (F.col("label") == F.col("label_")) & (F.col("embedding") == F.col("embedding_")), "left")
     component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

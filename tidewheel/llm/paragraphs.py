@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
+def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row for each paragraph that another one equals or nearly equals, in any document.
 
     (doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, class_size, kept):
@@ -197,7 +197,7 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
         raise ValueError(f"a paragraph must have {SHINGLE} words at least")
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = scratch or Scratch(spark, "paragraphs")
+    scratch = Scratch(spark, "paragraphs")
     keyed = _keyed(docs)
     found = scratch.write(_paragraph_table(keyed, min_words, tuned_bands(similarity, recall)))
     single = scratch.write(found.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct(*KEY, "start", "end")).alias("place"), F.count("*").alias("n")))
@@ -223,6 +223,7 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     classed = single.select("node", "n", "place").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     sizes = classed.groupBy("class").agg(F.sum("n").alias("class_size")).where("class_size > 1")
     rows = scratch.write(found.drop("bands").join(classed.select("node", "class"), "node").join(sizes, "class"))
+    scratch.only(rows)
     lead = rows.groupBy("class").agg(F.min(F.struct("doc_id", "paragraph", "start", "text_hash")).alias("lead"), F.count("*").alias("check"))
     lead = lead.select("class", F.col("lead.doc_id").alias("class_doc_id"), F.col("lead.paragraph").alias("class_paragraph"), F.col("lead.text_hash").alias("lead_hash"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("paragraph") == F.col("class_paragraph")) & (F.col("text_hash") == F.col("lead_hash"))

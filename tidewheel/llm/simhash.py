@@ -117,7 +117,7 @@ def linked(spark: SparkSession, counted: DataFrame, scratch: Scratch, distance:
     return named.join(over, named.part == over.node, "left").select(F.col("fp").alias("node"), F.coalesce("component", "part").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, words: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by fingerprints that differ in few bits.
 
     A null or wordless text has fingerprint 0 and links like any other. component_id is the
@@ -125,10 +125,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, words: int
     doc_id each keep their own fingerprint. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simhash")
+    scratch = Scratch(spark, "simhash")
     fps = scratch.write(fingerprints(docs, words))
     counted = scratch.write(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     parts = scratch.write(linked(spark, counted.select("fp", "n"), scratch, distance))
+    scratch.only(fps, counted, parts)
     owners = counted.join(parts, counted.fp == parts.node).select("fp", "first", "component")
     least = owners.groupBy("component").agg(F.min("first").alias("component_id"))
     named = owners.join(least, "component").select("fp", "component_id")
@@ -140,7 +141,7 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
 
     Repeated rows of one id count as one document; of differing rows one is kept, the same in every run.
     """
-    found = near_duplicates(docs, None, words, distance)
+    found = near_duplicates(docs, words, distance)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
     single = docs.groupBy("doc_id").agg(F.min_by(whole_row(docs), F.xxhash64(*plain)).alias("row"))

@@ -282,7 +282,7 @@ def repeated_windows(docs: DataFrame, length: int, scratch: Scratch) -> DataFram
     return alike.unionByName(repeated).unionByName(matched).unionByName(crowded)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, scratch: Scratch | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), a row for each row of ``docs``.
 
     ``kept`` are the bytes that are left. A null text counts as empty; a text shorter than
@@ -291,11 +291,13 @@ def without_repeats(docs: DataFrame, length: int = 400, scratch: Scratch | None
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    scratch = scratch or Scratch(docs.sparkSession, "substrings")
+    scratch = Scratch(docs.sparkSession, "substrings")
     runs = repeated_windows(docs, length, scratch)
     lists = runs.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("runs")).withColumnsRenamed({c: f"{c}_" for c in KEY})
+    lists = scratch.write(lists)
+    scratch.only(lists)
     on = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))
-    joined = _keyed(docs).join(scratch.write(lists), on, "left").select("doc_id", "text", "runs")
+    joined = _keyed(docs).join(lists, on, "left").select("doc_id", "text", "runs")
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
