@@ -86,3 +86,69 @@ def test_places_are_bytes_of_the_text(spark):
 def test_tuned_bands():
     b = P.tuned_bands(0.8, 0.998)
     assert 1 - (1 - 0.8**3) ** b >= 0.998 > 1 - (1 - 0.8**3) ** (b - 1)
+
+
+def begun(rows, min_words=25):
+    """(doc_id, first and last word) of the paragraphs that begin at each line and at each chosen place."""
+    for doc_id, text in rows:
+        made = P.Paragraphs(1)
+        w = (text or "").encode().lower().split()
+        made.load([b" ".join(w)])
+        low = made.shingles.tolist()
+        ends, at = [], 0
+        for line in (text or "").encode().split(b"\n"):
+            at += len(line.split())
+            ends.append(at)
+        found = {(a, next((e for e in ends if e - a >= min_words), None)) for a in {0, *ends}}
+        for k in range(len(low) - P.WINDOW + 1):
+            window = low[k : k + P.WINDOW]
+            found |= {(k + j, k + j + min_words) for j, v in enumerate(window) if v == min(window) and k + j + min_words <= len(w)}
+        yield from ((doc_id, w, a, e) for a, e in sorted((a, e) for a, e in found if e))
+
+
+def brute_everywhere(rows, similarity=0.8):
+    found, k, previous = [], 0, None
+    for doc_id, w, a, e in begun(rows):
+        k = k + 1 if doc_id == previous else 0
+        previous = doc_id
+        found.append((doc_id, k, e - a, {tuple(w[i : i + 5]) for i in range(a, e - 4)}))
+    parent = list(range(len(found)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(found):
+        for j in range(i):
+            both = len(a[3] & found[j][3])
+            if both >= similarity * (len(a[3]) + len(found[j][3]) - both):
+                parent[root(i)] = root(j)
+    classes = collections.defaultdict(list)
+    for i, f in enumerate(found):
+        classes[root(i)].append(f[:3])
+    return {frozenset(c): len(c) for c in classes.values() if len(c) > 1}
+
+
+def test_everywhere_against_all_pairs(spark):
+    passage = words(60, 50)
+    rows = [(k, f"{words(30, 100 + k)}\n{passage if k % 3 else changed(passage, 1, k)}\n{words(40, 200 + k)}\nshort line") for k in range(12)]
+    rows += [(100 + k, changed(words(200, 7), 3, k)) for k in range(6)]
+    short = [words(6, 300 + k) for k in range(12)]
+    rows += [(300 + k, "\n".join([words(3 + k, 400 + k), "\r\n", *short, words(4, 500 + k)])) for k in range(5)]
+    rows += [(400 + k, words(37 + k, 600 + k) + " " + words(50, 77) + " " + words(31, 700 + k)) for k in range(3)] + [(500, None), (501, "")]
+    docs = documents(spark, [(d, t, None, None, None) for d, t in rows])
+    assert got(P.paragraph_classes(docs, everywhere=True)) == brute_everywhere(rows)
+
+
+def test_a_passage_is_found_after_whatever_precedes_it(spark):
+    short = [words(6, 300 + k) for k in range(10)]
+    lines = [(k, "\n".join([words(3 + k, 400 + k), words(2, 450 + k), *short, words(40, 500 + k)])) for k in range(5)]
+    inside = [(100 + k, words(20 + 9 * k, 600 + k) + " " + words(50, 77) + " " + words(33, 700 + k)) for k in range(5)]
+    rows = P.paragraph_classes(documents(spark, [(d, t, None, None, None) for d, t in lines + inside]), everywhere=True).collect()
+    texts = dict(lines + inside)
+    shown = {d: [texts[d].encode()[r.start : r.end].decode() for r in rows if r.doc_id == d] for d in texts}
+    for k in range(6):
+        assert all("\n".join(short[k : k + 5]) in shown[d] for d, _ in lines)
+    for d, _ in inside:
+        assert any(s in words(50, 77) for s in shown[d])

@@ -1,7 +1,9 @@
 """Near-duplicate paragraphs by MinHash banding, verified and clustered.
 
-A paragraph is a line of ``MIN_WORDS`` words or more; short lines that stand together make up
-paragraphs of at least as many words. Equal paragraphs are one to begin with.
+A paragraph does not depend on what precedes it. One begins with each line and goes on by whole
+lines until it has ``MIN_WORDS`` words; another has ``MIN_WORDS`` words from each place that the
+words themselves choose, so that a passage of ``WINDOW + MIN_WORDS - 1`` words is found wherever
+it stands, also inside longer lines. Equal paragraphs are one to begin with.
 Bands are tuned so that a pair at the similarity asked for collides almost surely. In each
 bucket all members are first compared with one of them, which joins a group of near copies by
 as many comparisons as it has members; then only members of different components are compared
@@ -20,6 +22,8 @@ from tidewheel.llm.graph import components
 from tidewheel.llm.substrings import Hasher, _mixed
 
 MIN_WORDS, SHINGLE, SIMILARITY, RECALL = 25, 5, 0.8, 0.998
+#: Of so many shingles one after another, that with the lowest hash begins a paragraph.
+WINDOW = 26
 #: Documents with paragraphs to compare, up to which their list is broadcast.
 BROADCAST_DOCS = 200_000
 #: Bytes of text whose words are hashed at once.
@@ -58,6 +62,23 @@ def _runs_of_lines(row: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.n
     return np.array(chosen, np.int64), np.array(ends, np.int64)
 
 
+def _chosen_places(shingles: np.ndarray, text_end: np.ndarray, n_words: int) -> np.ndarray:
+    """The words whose shingle is the lowest of some ``WINDOW`` in its text, with ``n_words`` after them.
+
+    ``text_end`` is the number of the word that ends each shingle's first word's text.
+    """
+    if len(shingles) < WINDOW:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view
+    low = views(shingles, WINDOW).min(axis=1)
+    at = np.arange(len(shingles))
+    # windows that reach into the next text choose nothing
+    low[at[: len(low)] + WINDOW - 1 + SHINGLE > text_end[: len(low)]] = 0
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    high = views(np.concatenate((edge, low, edge)), WINDOW).max(axis=1)
+    return np.flatnonzero((high == shingles) & (at + n_words <= text_end))
+
+
 class Paragraphs:
     """Words, shingles and signatures of the paragraphs of many texts at once."""
 
@@ -70,10 +91,11 @@ class Paragraphs:
         white[[9, 10, 11, 12, 13, 32]] = True
         self.white = white
 
-    def load(self, texts: list[bytes], min_words: int = 0) -> None:
+    def load(self, texts: list[bytes], min_words: int = 0, everywhere: bool = False) -> None:
         """Finds the paragraphs of the texts: row, start and end byte, words, hash, shingle range.
 
-        Without ``min_words`` each text with words is one paragraph.
+        Without ``min_words`` each text with words is one paragraph. ``everywhere``: they begin
+        at each line and at each chosen place; otherwise they do not overlap.
         """
         buffer = b"\n".join(t.lower() for t in texts)
         offsets = np.concatenate(([0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))))
@@ -86,14 +108,26 @@ class Paragraphs:
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         row = np.searchsorted(offsets, starts[first], "right") - 1
         stop = np.concatenate((first[1:], [len(line)]))  # the words after each line
-        chosen, last = _runs_of_lines(row, stop - first, min_words)
-        first, row, stop = first[chosen], row[chosen], stop[last]
-        count, self.row = (stop - first).astype(np.int64), row
         words = self.hasher.some(starts, ends)
         shingles = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(shingles)]
         self.shingles = _mixed(shingles)
+        if everywhere and len(first):
+            # a line goes on until it has enough words, as long as its text does
+            last = np.searchsorted(stop, first + min_words)
+            keep = last < len(first)
+            keep[keep] = row[last[keep]] == row[keep]
+            text = np.searchsorted(offsets, starts, "right") - 1
+            text_end = np.searchsorted(text, text, "right")
+            places = _chosen_places(self.shingles, text_end[: len(self.shingles)], min_words)
+            both = np.unique(np.concatenate((first[keep] << 32 | stop[last[keep]], places << 32 | places + min_words)))
+            first, stop = both >> 32, both & 0xFFFFFFFF
+            row = text[first]
+        else:
+            chosen, last = _runs_of_lines(row, stop - first, min_words)
+            first, row, stop = first[chosen], row[chosen], stop[last]
+        count, self.row = (stop - first).astype(np.int64), row
         self.first, self.n_shingles, self.count = first, np.maximum(count - SHINGLE + 1, 1), count
         begin = starts[first]
         self.start, self.end = begin - offsets[self.row], ends[first + count - 1] - offsets[self.row]
@@ -135,7 +169,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def _paragraph_table(keyed: DataFrame, min_words: int, bands: int) -> DataFrame:
+def _paragraph_table(keyed: DataFrame, min_words: int, bands: int, everywhere: bool) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -143,7 +177,7 @@ def _paragraph_table(keyed: DataFrame, min_words: int, bands: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _grouped(texts):
-                made.load(texts[a:b], min_words)
+                made.load(texts[a:b], min_words, everywhere)
                 n = len(made.first)
                 rows = made.row
                 order = np.arange(n) - np.searchsorted(rows, rows)
@@ -184,13 +218,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, everywhere: bool = False) -> DataFrame:
     """A row for each paragraph that another one equals or nearly equals, in any document.
 
     (doc_id, paragraph, start, end, n_words, class_doc_id, class_paragraph, class_size, kept):
     places are bytes of the text; a class is a component of paragraphs linked at the similarity,
     named by its first paragraph (by doc_id, then place), the one that is kept. Paragraphs
-    count from 0 in their text; short lines that do not make one up are in none. Null and empty texts have none. Rows that
+    count from 0 in their text by place. ``everywhere``: they begin at each line and at each
+    chosen place, and overlap; otherwise they do not, begin where the one before ends, and short
+    lines that do not make one up are in none. Null and empty texts have none. Rows that
     repeat a document count once each; no rows give an empty result. Other columns are not read.
     """
     if min_words < SHINGLE:
@@ -199,7 +235,7 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     small_batches(spark)
     scratch = Scratch(spark, "paragraphs")
     keyed = _keyed(docs)
-    found = scratch.write(_paragraph_table(keyed, min_words, tuned_bands(similarity, recall)))
+    found = scratch.write(_paragraph_table(keyed, min_words, tuned_bands(similarity, recall), everywhere))
     single = scratch.write(found.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct(*KEY, "start", "end")).alias("place"), F.count("*").alias("n")))
     buckets = single.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
@@ -231,4 +267,4 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_classes(read_table(spark, sf_dir, "documents"))
+    return paragraph_classes(read_table(spark, sf_dir, "documents"), everywhere=True)
