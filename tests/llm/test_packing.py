@@ -90,3 +90,11 @@ def test_crossover_keeps_the_documents_and_whole_bins():
     assert best in [sorted(b) for b in child]
     found = P.evolve(lengths, [], 100, 5, 4, rng)
     assert len(found[0]) <= len(mother) and P._unpacked(P._packed(found[0])) == found[0]
+
+
+def test_sequence_ids_of_blocks_that_exceed_block_items(spark):
+    from tidewheel.llm.common import Scratch
+
+    pieces = spark.range(60).selectExpr("id AS uid", "6L AS length")  # two never fit a bin
+    out = P.pack(pieces, Scratch(spark, "t"), budget=10, block_items=4, islands=2, epochs=1, passes=1).collect()
+    assert len(out) == len({r.sequence_id for r in out}) == 60 and {r.offset for r in out} == {0}

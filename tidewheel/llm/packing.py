@@ -265,7 +265,8 @@ def pack(pieces: DataFrame, scratch: Scratch, budget: int = 1024, block_items: i
         places = _places(best, budget, 0 if last else int(0.97 * budget))
         ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("block", "length").orderBy("uid")))
         placed = ranked.join(places, ["block", "length", "place"])
-        placed = scratch.write(placed.select(*loose.columns, F.when(F.col("bin") >= 0, (F.col("block") * passes + turn) * block_items + F.col("bin")).alias("sequence_id"), "offset"))
+        # a block may hold more than block_items, and each may take a bin of its own
+        placed = scratch.write(placed.select(*loose.columns, F.when(F.col("bin") >= 0, (F.col("block") * passes + turn) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset"))
         done.append(placed.where("sequence_id is not null"))
         loose = placed.where("sequence_id is null").drop("sequence_id", "offset")
     out = done[0]
