@@ -111,3 +111,12 @@ def test_one_document_of_each_group_stays(spark):
     kept = sorted(r.doc_id for r in out.collect() if r.doc_id is not None)
     groups = {r.component_id for r in S.near_duplicates(docs).collect()}
     assert kept == sorted(g for g in groups if g is not None)
+
+
+def test_each_group_keeps_a_document_whatever_its_id(spark):
+    from messy import words
+
+    rows = [(None, words(50, k)) for k in range(6)] + [(7, words(50, 10)), (7, words(50, 11)), (8, words(50, 12)), (None, words(50, 12)), (None, words(50, 0)), (3, words(50, 11))]
+    out = S.one_of_each(documents(spark, [(d, t, None, None, None) for d, t in rows])).collect()
+    want = [(None, words(50, k)) for k in range(6)] + [(7, words(50, 10)), (8, words(50, 12)), (3, words(50, 11))]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(want, key=str)

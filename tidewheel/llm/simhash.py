@@ -46,15 +46,16 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; a null text counts as empty."""
+    """(doc_id, text_hash, fp) for every row of ``docs``; a null text counts as empty."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint_of(t or b"", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint_of(t or b"", words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _embedded(fps: DataFrame) -> DataFrame:
@@ -117,6 +118,17 @@ def linked(spark: SparkSession, counted: DataFrame, scratch: Scratch, distance:
     return named.join(over, named.part == over.node, "left").select(F.col("fp").alias("node"), F.coalesce("component", "part").alias("component"))
 
 
+def _components(docs: DataFrame, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, first, component) of every fingerprint."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "simhash")
+    fps = scratch.write(fingerprints(docs, words))
+    counted = scratch.write(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
+    parts = scratch.write(linked(spark, counted.select("fp", "n"), scratch, distance))
+    scratch.only(fps, counted, parts)
+    return fps, counted.join(parts, counted.fp == parts.node).select("fp", "first", "component")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by fingerprints that differ in few bits.
 
@@ -124,28 +136,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     smallest doc_id of the group (null only if the whole group's ids are null). Rows with one
     doc_id each keep their own fingerprint. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.write(fingerprints(docs, words))
-    counted = scratch.write(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
-    parts = scratch.write(linked(spark, counted.select("fp", "n"), scratch, distance))
-    scratch.only(fps, counted, parts)
-    owners = counted.join(parts, counted.fp == parts.node).select("fp", "first", "component")
+    fps, owners = _components(docs, words, distance)
     least = owners.groupBy("component").agg(F.min("first").alias("component_id"))
     named = owners.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """Keeps one document of each group, that with the smallest id, and all columns of ``docs``.
+    """Keeps one document of each group, the first by id and text hash, and all columns of ``docs``.
 
-    Repeated rows of one id count as one document; of differing rows one is kept, the same in every run.
+    Null ids come last. Rows of one id with different texts are documents of their own; of rows
+    with one id and text that differ elsewhere one is kept, the same in every run.
     """
-    found = near_duplicates(docs, words, distance)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    fps, owners = _components(docs, words, distance)
+    # the first of each fingerprint, then of each group
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("own"))
+    keep = first.join(owners.select("fp", "component"), "fp").groupBy("component").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("keep_id"), F.col("own.text_hash").alias("keep_hash"))
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
-    single = docs.groupBy("doc_id").agg(F.min_by(whole_row(docs), F.xxhash64(*plain)).alias("row"))
-    return single.join(keep, single.doc_id.eqNullSafe(keep.keep_id), "left_semi").select("row.*")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(*plain).alias("order"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
+    return kept.groupBy("id", "hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
