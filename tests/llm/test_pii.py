@@ -82,3 +82,14 @@ def test_redaction(spark):
 def test_no_python_on_the_main_path(spark):
     for df in (P.find_spans(documents(spark)), P.redact(documents(spark))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def terms_of(docs, rows):
+    texts = {r[0]: r[1] for r in rows}
+    return {doc_id: [texts[doc_id][a:b] for k, a, b in found if k == 4] for doc_id, found in spans(P.find_spans(docs))}
+
+
+def test_a_term_beside_several_mentions(spark):
+    rows = [(k, f"{w} is a@b.io Quillfeather 10.0.0.1 +1 555 123 4567 {w}", None, None, None) for k, w in enumerate(["hear", "there", "today", "again"])] + OTHERS
+    found = terms_of(documents(spark, rows), rows)
+    assert all(("Quillfeather" in found[k]) == (k < 4) for k in found)

@@ -120,10 +120,10 @@ def revealing_terms(docs: DataFrame, mentions: DataFrame, scratch: Scratch, bits
     entity's share of all mentions.
     """
     beside = scratch.write(_terms_beside(mentions))
-    together = beside.groupBy("term", "entity").agg(F.count("*").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
-    # a term's occurrences beside any mention are some of all of its occurrences, so what falls
+    together = beside.groupBy("term", "entity").agg(F.count_distinct("uid", "start").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
+    # a term's occurrences beside any mention, each counted once, are some of all of them, so what falls
     # short of the share among them alone is no candidate
-    totals = beside.groupBy("term").agg(F.count("*").alias("n_beside"))
+    totals = beside.groupBy("term").agg(F.count_distinct("uid", "start").alias("n_beside"))
     together = scratch.write(together.join(totals, "term").where(F.col("both") >= share * F.col("n_beside")).drop("n_beside"))
     terms = together.select("term").distinct()
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("term"))
