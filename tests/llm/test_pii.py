@@ -93,3 +93,13 @@ def test_a_term_beside_several_mentions(spark):
     rows = [(k, f"{w} is a@b.io Quillfeather 10.0.0.1 +1 555 123 4567 {w}", None, None, None) for k, w in enumerate(["hear", "there", "today", "again"])] + OTHERS
     found = terms_of(documents(spark, rows), rows)
     assert all(("Quillfeather" in found[k]) == (k < 4) for k in found)
+
+
+def test_a_frequent_entity(spark):
+    """It holds over a third of all mentions, in a small table and in a larger one."""
+    hot = [(k, f"{a} Zorblax {b} z@w.example.com so {a}", None, None, None) for k, (a, b) in enumerate(zip("abcdefghijkl" * 4, "mnopqrstuvwx" * 4))]
+    hot = [(k, f"{r[1]} {k}", None, None, None) for k, r in enumerate(hot)]
+    for n in (5, 40):
+        rows = hot[:n] + OTHERS[: 2 * n - 2]
+        found = terms_of(documents(spark, rows), rows)
+        assert all(("Zorblax" in found[k]) == (k < 100) and "Common" not in found[k] for k in found)

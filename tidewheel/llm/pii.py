@@ -116,8 +116,9 @@ def revealing_terms(docs: DataFrame, mentions: DataFrame, scratch: Scratch, bits
 
     A term reveals an entity if it stands beside it in at least ``contexts`` different contexts
     (so copies of one text are no evidence), if at least ``share`` of the term's occurrences in
-    the whole corpus stand beside it, and if that share is at least ``bits`` bits above the
-    entity's share of all mentions.
+    the whole corpus stand beside it, and if the odds of standing beside it
+    are ``bits`` bits above the entity's odds among all mentions. An entity so frequent that no
+    term could reach them at half of its occurrences is judged by the share alone.
     """
     beside = scratch.write(_terms_beside(mentions))
     together = beside.groupBy("term", "entity").agg(F.count_distinct("uid", "start").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
@@ -136,9 +137,10 @@ def revealing_terms(docs: DataFrame, mentions: DataFrame, scratch: Scratch, bits
     entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = mentions.count()
     given = F.col("both") / F.col("n_term")
+    odds, others = 2.0**bits * F.col("n_entity"), F.lit(total) - F.col("n_entity")
     known = (
         together.join(counts, "term").join(entities, "entity")
-        .where((given >= share) & (F.log2(given * F.lit(float(total)) / F.col("n_entity")) >= bits))
+        .where((given >= share) & ((others < odds) | (given * others >= (1 - given) * odds)))
         .select("term", "entity")
     )
     return beside.join(known, ["term", "entity"]).select("uid", "start", "end").distinct()
