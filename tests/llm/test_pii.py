@@ -103,3 +103,13 @@ def test_a_frequent_entity(spark):
         rows = hot[:n] + OTHERS[: 2 * n - 2]
         found = terms_of(documents(spark, rows), rows)
         assert all(("Zorblax" in found[k]) == (k < 100) and "Common" not in found[k] for k in found)
+
+
+def test_a_term_far_from_the_mention_and_elsewhere(spark):
+    from messy import words
+
+    rows = [(k, f"Dear Quillfeather {words(30, k)} call +1 555 123 4567", None, None, None) for k in range(8)]
+    rows += [(50, "I met Quillfeather, QUILLFEATHER and others", None, None, None)] + OTHERS
+    found = terms_of(documents(spark, rows), rows)
+    assert all("Quillfeather" in found[k] for k in range(8)) and found[50] == ["Quillfeather", "QUILLFEATHER"]
+    assert all("Common" not in found[k] for k in found)

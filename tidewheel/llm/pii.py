@@ -2,13 +2,14 @@
 
 DataFrame operations only. A kind's matches and the gaps between them come from one regular
 expression, and a running sum of their lengths gives positions. Co-occurrence over the corpus
-then tells how strongly a term beside an entity reveals it: the share of the term's occurrences
-that stand beside the entity, against the entity's share of all mentions, in bits. Terms over
-the thresholds are generalised together with the entity itself.
+then tells how strongly a term reveals an entity: the share of the term's occurrences that stand
+beside the entity, or in documents that mention it, against the entity's own share, in bits. Terms
+over the thresholds are generalised wherever they stand, together with the entity itself.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +34,8 @@ TERM = r"\p{L}{3,}"
 BESIDE = 48
 #: Terms up to this number are looked up by broadcast, more of them by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Texts up to this number are looked up by broadcast, more of them by a shuffle.
+BROADCAST_TEXTS = 200_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -83,12 +86,12 @@ def _matches(text: Column) -> Column:
 
 
 def _mentions(found: DataFrame) -> DataFrame:
-    """A row for each base span, (uid, kind, start, end, entity, before, after)."""
-    rows = found.where(F.size("found") > 0).select("uid", F.posexplode("found").alias("pos", "x")).select("uid", "pos", "x.*")
+    """A row for each base span, (uid, text_hash, kind, start, end, entity, before, after)."""
+    rows = found.where(F.size("found") > 0).select("uid", "text_hash", F.posexplode("found").alias("pos", "x")).select("uid", "text_hash", "pos", "x.*")
     length = F.length("m")
     run = F.sum(F.col("gap") + length).over(Window.partitionBy("uid", "kind").orderBy("pos"))
     entity = F.concat_ws(":", F.col("kind").cast("string"), F.when(F.col("kind") < 2, F.lower("m")).otherwise(F.regexp_replace("m", "[^0-9]", "")))
-    return rows.withColumn("end", run.cast("long")).where(_holds(F.col("kind"), F.col("m"))).select("uid", "kind", (F.col("end") - length).alias("start"), "end", F.xxhash64(entity).alias("entity"), "before", "after")
+    return rows.withColumn("end", run.cast("long")).where(_holds(F.col("kind"), F.col("m"))).select("uid", "text_hash", "kind", (F.col("end") - length).alias("start"), "end", F.xxhash64(entity).alias("entity"), "before", "after")
 
 
 def _terms_beside(mentions: DataFrame) -> DataFrame:
@@ -111,55 +114,104 @@ def _terms_beside(mentions: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def _terms(docs: DataFrame) -> DataFrame:
+    """(text_hash, term): every term of every text, as often as it occurs."""
+    return docs.select(F.xxhash64("text").alias("text_hash"), F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("term"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text) of the rows whose text hash is wanted."""
+    right = wanted.select(F.col("text_hash").alias("wanted"))
+    right = F.broadcast(right) if right.count() <= BROADCAST_TEXTS else right
+    return docs.select("text", F.xxhash64("text").alias("own")).join(right, F.col("own") == F.col("wanted"), "left_semi").select("text")
+
+
+def _in_documents(docs: DataFrame, mentions: DataFrame, counts: DataFrame, scratch: Scratch, bits: float, share: float, contexts: int) -> DataFrame | None:
+    """(term): terms that reveal an entity by the documents they occur in, or None.
+
+    An entity has one context a text, what surrounds its first mention. Besides the share and the
+    odds, the contexts must be ``bits`` bits less likely by chance than one among all terms tried.
+    """
+    first = mentions.groupBy("text_hash", "entity").agg(F.min_by(F.xxhash64("before", "after"), F.struct("start", "kind")).alias("context"))
+    able = first.groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= contexts).select("entity")
+    pairs = scratch.write(first.join(able, "entity", "left_semi"))
+    texts = scratch.write(pairs.select("text_hash").distinct())
+    inside = scratch.write(_terms(_texts(docs, texts)).groupBy("text_hash", "term").agg(F.count("*").alias("n")))
+    # what falls short of the share among all of these texts, or of the contexts, is no candidate
+    tried = inside.groupBy("term").agg(F.sum("n").alias("n_inside"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= contexts).join(counts, "term")
+    tried = scratch.write(tried.where(F.col("n_inside") >= share * F.col("n_term")).select("term", "n_term"))
+    n_tried = tried.count()
+    if not n_tried:
+        return None
+    together = inside.join(tried, "term").join(pairs, "text_hash").groupBy("term", "entity").agg(F.sum("n").alias("both"), F.first("n_term").alias("n_term"), F.count_distinct("context").alias("contexts"))
+    entities = mentions.groupBy("entity").agg(F.count_distinct("uid").alias("n_docs"))
+    total = docs.count()
+    given, chance = F.col("both") / F.col("n_term"), F.col("n_docs") / F.lit(float(total))
+    bits_each = given * F.log2(given / chance) + F.when(given < 1, (1 - given) * F.log2((1 - given) / (1 - chance))).otherwise(0.0)
+    likely = (given * (1 - chance) >= 2.0**bits * (1 - given) * chance) & (F.col("contexts") * bits_each >= bits + math.log2(n_tried))
+    return together.where(F.col("contexts") >= contexts).join(entities, "entity").where((given >= share) & (chance < 1) & likely).select("term")
+
+
+def _places_of(docs: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text_hash, start, end) of every occurrence of the terms in the corpus."""
+    right = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    texts = scratch.write(_terms(docs).join(right, "term", "left_semi").select("text_hash").distinct())
+    gaps = F.split("text", TERM, -1)
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), gaps.alias("g"))
+    one = _texts(docs, texts).withColumn("uid", F.monotonically_increasing_id())  # numbered before they are taken apart
+    rows = one.select(F.xxhash64("text").alias("text_hash"), "uid", F.posexplode(F.filter(zipped, lambda z: z["m"].isNotNull())).alias("pos", "z"))
+    run = F.sum(F.length("z.g") + F.length("z.m")).over(Window.partitionBy("uid").orderBy("pos"))
+    placed = rows.select("text_hash", F.lower("z.m").alias("term"), (run - F.length("z.m")).cast("long").alias("start"), run.cast("long").alias("end"))
+    return placed.join(right, "term", "left_semi").select("text_hash", "start", "end").distinct()
+
+
 def revealing_terms(docs: DataFrame, mentions: DataFrame, scratch: Scratch, bits: float = 4.0, share: float = 0.5, contexts: int = 3) -> DataFrame:
-    """(uid, start, end): terms beside an entity that reveal it.
+    """(text_hash, start, end): every occurrence in the corpus of the terms that reveal an entity.
 
-    A term reveals an entity if it stands beside it in at least ``contexts`` different contexts
+    A term reveals an entity if they occur together in at least ``contexts`` different contexts
     (so copies of one text are no evidence), if at least ``share`` of the term's occurrences in
-    the whole corpus stand beside it, and if the odds of standing beside it
-    are ``bits`` bits above the entity's odds among all mentions. An entity so frequent that no
-    term could reach them at half of its occurrences is judged by the share alone.
+    the whole corpus do, and if the odds of that are ``bits`` bits above the entity's own odds.
+    Together means in one document, or within ``BESIDE`` code points of a mention. For the
+    latter, an entity so frequent among the mentions that no term could reach the odds at half of
+    its occurrences is judged by the share alone.
     """
-    beside = scratch.write(_terms_beside(mentions))
+    named = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct(F.xxhash64("before", "after")).alias("n"))
+    entities = scratch.write(named.where(F.col("n") >= contexts).drop("n"))  # others have too few contexts for any term
+    if not entities.limit(1).count():
+        return mentions.where("false").select("text_hash", "start", "end")
+    counts = scratch.write(_terms(docs).groupBy("term").agg(F.count("*").alias("n_term")))
+    beside = _terms_beside(mentions.join(entities, "entity", "left_semi"))
     together = beside.groupBy("term", "entity").agg(F.count_distinct("uid", "start").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
-    # a term's occurrences beside any mention, each counted once, are some of all of them, so what falls
-    # short of the share among them alone is no candidate
-    totals = beside.groupBy("term").agg(F.count_distinct("uid", "start").alias("n_beside"))
-    together = scratch.write(together.join(totals, "term").where(F.col("both") >= share * F.col("n_beside")).drop("n_beside"))
-    terms = together.select("term").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("term"))
-    n_terms = terms.count()
-    if n_terms == 0:
-        return beside.where("false").select("uid", "start", "end")
-    if n_terms <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = mentions.count()
     given = F.col("both") / F.col("n_term")
     odds, others = 2.0**bits * F.col("n_entity"), F.lit(total) - F.col("n_entity")
     known = (
         together.join(counts, "term").join(entities, "entity")
         .where((given >= share) & ((others < odds) | (given * others >= (1 - given) * odds)))
-        .select("term", "entity")
+        .select("term")
     )
-    return beside.join(known, ["term", "entity"]).select("uid", "start", "end").distinct()
+    wide = _in_documents(docs, mentions, counts, scratch, bits, share, contexts)
+    known = scratch.write((known if wide is None else known.unionByName(wide)).distinct())
+    return _places_of(docs, known, scratch)
 
 
 def find_spans(docs: DataFrame, scratch: Scratch | None = None, **thresholds) -> DataFrame:
     """(doc_id, text_hash, spans): for every row, its spans (kind, start, end), kinds in order.
 
     Positions are code points, ends exclusive. kind is 0 to 3 for the base kinds and 4 for a
-    revealing term. A null text counts as empty. Rows that repeat an id stay rows of their own.
-    An empty table gives an empty result. Other columns are not read.
+    revealing term, wherever it stands. A null text counts as empty. Rows that repeat an id stay
+    rows of their own. An empty table gives an empty result. Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     found = scratch.write(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _matches(text_or_empty()).alias("found")).withColumn("uid", F.monotonically_increasing_id()))
     mentions = scratch.write(_mentions(found))
     terms = revealing_terms(docs, mentions, scratch, **thresholds)
-    spans = mentions.select("uid", "kind", "start", "end").unionByName(terms.withColumn("kind", F.lit(len(KINDS))))
-    lists = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
-    return found.select("uid", "doc_id", "text_hash").join(lists, "uid", "left").select("doc_id", "text_hash", F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")).alias("spans"))
+    listed = lambda kind: F.sort_array(F.collect_list(F.struct(kind.cast("int").alias("kind"), "start", "end")))
+    base = mentions.groupBy("uid").agg(listed(F.col("kind")).alias("base"))
+    more = terms.groupBy("text_hash").agg(listed(F.lit(len(KINDS))).alias("more"))
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
+    rows = found.select("uid", "doc_id", "text_hash").join(base, "uid", "left").join(more, "text_hash", "left")
+    return rows.select("doc_id", "text_hash", F.concat(F.coalesce("base", none), F.coalesce("more", none)).alias("spans"))
 
 
 def redact(docs: DataFrame, **thresholds) -> DataFrame:
