@@ -113,3 +113,10 @@ def test_a_term_far_from_the_mention_and_elsewhere(spark):
     found = terms_of(documents(spark, rows), rows)
     assert all("Quillfeather" in found[k] for k in range(8)) and found[50] == ["Quillfeather", "QUILLFEATHER"]
     assert all("Common" not in found[k] for k in found)
+
+
+def test_redaction_of_a_term_inside_an_email(spark):
+    rows = [(k, f"{w} is Quillfeather jo@quillfeather.io +1 555 123 4567 {w}", None, None, None) for k, w in enumerate(["hear", "there", "today", "again"])] + OTHERS
+    out = {r.doc_id: r.text for r in P.redact(documents(spark, rows)).collect()}
+    assert [out[k].split()[2:5] for k in range(4)] == [["[TERM]", "[EMAIL]", "[PHONE]"]] * 4
+    assert not any("@" in text or "uillfeather" in text for text in out.values())

@@ -67,12 +67,6 @@ def _is_kind(kind: int):
     return lambda x: x["kind"] == kind
 
 
-def _masked(kind: int):
-    """A gap and what follows it: the match, or the kind's label if the match holds."""
-    shown = lambda m: F.when(m.isNull(), "").when(_holds(F.lit(kind), m), f"[{KINDS[kind].upper()}]").otherwise(m)
-    return lambda x: F.concat(x["g"], shown(x["m"]))
-
-
 def _matches(text: Column) -> Column:
     """Array of (kind, match, gap before it, text just before, text just after) by kind and place."""
     every = []
@@ -217,25 +211,31 @@ def find_spans(docs: DataFrame, scratch: Scratch | None = None, **thresholds) ->
 def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with base spans replaced by [EMAIL], [IP], [CARD] or [PHONE], and revealing terms by [TERM].
 
-    Kinds are replaced in order; n_chars, where there is such a column, is counted anew. A null
-    text stays null. All rows and columns are kept.
+    All spans are those that ``find_spans`` gives on the text as it is; overlapping ones are
+    replaced as one, by the label of the first kind among them. n_chars, where there is such a
+    column, is counted anew. A null text stays null. All rows and columns are kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "redact")
-    terms = find_spans(docs, scratch, **thresholds).select("doc_id", "text_hash", F.filter("spans", _is_kind(len(KINDS))).alias("terms")).where(F.size("terms") > 0)
-    terms = scratch.write(terms.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "term_id", "text_hash": "term_hash"}))
-    out = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), "text")
-    if terms.limit(1).count():
-        out = out.join(terms, F.col("doc_id").eqNullSafe(F.col("term_id")) & (F.xxhash64("text") == F.col("term_hash")), "left")
-        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("terms", lambda x: x["end"]))
-        bits = F.zip_with(ends, F.transform("terms", lambda x: x["start"]), lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, F.coalesce(b, F.length("text").cast("long")).cast("int") - a.cast("int")))
-        out = out.withColumn("text", F.when(F.col("terms").isNull(), F.col("text")).otherwise(F.array_join(bits, "[TERM]"))).select("row", "text")
-    for k, kind in enumerate(KINDS):
-        text = F.col("text")
-        gaps = F.split(text, PATTERNS[kind], -1)
-        zipped = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"))
-        fresh = F.array_join(F.transform(zipped, _masked(k)), "")
-        out = out.withColumn("text", F.when(text.rlike(GATES[kind]), fresh).otherwise(text))
+    found = find_spans(docs, scratch, **thresholds).where(F.size("spans") > 0).dropDuplicates(["text_hash"])
+    each = found.select("text_hash", F.explode("spans").alias("x")).select("text_hash", "x.*")
+    by_place = Window.partitionBy("text_hash").orderBy("start", "end", "kind")
+    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("part", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = each.groupBy("text_hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kind").alias("kind"))
+    cuts = scratch.write(merged.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")).withColumnRenamed("text_hash", "cut_hash"))
+    n_cuts = cuts.count()
+    out = docs.select(whole_row(docs).alias("row"), "text")
+    if n_cuts:
+        right = F.broadcast(cuts) if n_cuts <= BROADCAST_TEXTS else cuts
+        out = out.join(right, F.xxhash64("text") == F.col("cut_hash"), "left")
+        labels = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")))
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda x: x["end"]))
+        cut = lambda a, x: F.concat(
+            F.substring(F.col("text"), a.cast("int") + 1, F.coalesce(x["start"], F.length("text").cast("long")).cast("int") - a.cast("int")),
+            F.when(x["kind"].isNull(), "").otherwise(F.element_at(labels, F.coalesce(x["kind"], F.lit(0)) + 1)),
+        )
+        out = out.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(ends, "cuts", cut), "")))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
