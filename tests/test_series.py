@@ -63,7 +63,7 @@ def test_event_distances_waves_and_names(spark):
     rows = [(s, D(f"2020-01-0{d}"), s == 1 and d in (3, 7)) for s in (1, 2) for d in range(1, 8)]
     w = W.series("store")
     df = frame(spark, rows, "store int, date date, hol boolean")
-    df = df.select("store", "date", W.next_event_days(F.col("hol"), 1, w).alias("n"), W.since_event_days(F.col("hol"), 1, w).alias("s"))
+    df = df.select("store", "date", W.next_event_days(F.col("hol"), 1, W.series_backwards("store")).alias("n"), W.since_event_days(F.col("hol"), 1, w).alias("s"))
     got = [tuple(r) for r in df.select("n", "s", F.round(W.wave(F.col("n"), 1.3), 6), F.round(W.wave(F.col("s"), 1.3), 6)).orderBy("store", "date").collect()]
     assert got[:7] == [
         (1, None, 0.743893, None), (0, 0, 1, 1), (3, 1, 0.069758, 0.743893), (2, 2, 0.306226, 0.306226),
@@ -77,7 +77,7 @@ def test_event_distances_waves_and_names(spark):
 def test_extended_names(spark):
     rows = [(1, D(f"2020-01-0{d}"), n, pre, post) for d, n, pre, post in ((1, None, 0.5, 0.1), (2, "X", 1.0, 1.0), (3, None, 0.1, 0.5), (4, None, 0.0, 0.0), (5, None, None, 0.5))]
     df = frame(spark, rows, "store int, date date, name string, pre double, post double")
-    c = W.extended_name(F.col("name"), F.col("pre"), F.col("post"), 3.0, W.series("store"))
+    c = W.extended_name(F.col("name"), F.col("pre"), F.col("post"), 3.0, W.series("store"), W.series_backwards("store"))
     assert [r[0] for r in df.select(c).orderBy("date").collect()] == ["X", "X", "X", None, "X"]
 
 
@@ -114,3 +114,16 @@ def test_against_pandas_on_random_panels(spark):
             np.testing.assert_allclose(g[name].to_numpy(float), want)
         np.testing.assert_allclose(g["rolling_mean_14D"], g["v"].rolling("14D").mean())
         np.testing.assert_allclose(g["diff_days_2"].to_numpy(float), g["v"].to_numpy() - g["v"].reindex(g.index - pd.Timedelta(days=2)).to_numpy())
+
+
+def test_one_long_series(spark):
+    """Frames grow from row to row: a hundred years of one entity take seconds."""
+    import time
+
+    df = spark.range(36_500).select(F.lit(1).alias("store"), F.col("id").cast("int").alias("day_no"), (F.col("id") % 36_000 == 0).alias("hol"), F.when(F.col("id") % 9000 == 0, "X").alias("name"))
+    w, back = W.series("store"), W.series_backwards("store")
+    began = time.time()
+    out = df.select("day_no", W.next_event_days(F.col("hol"), 30, back).alias("n"), W.since_event_days(F.col("hol"), 30, w).alias("s"), W.extended_name(F.col("name"), F.lit(1.0), F.lit(0.0), 3.0, w, back).alias("x"))
+    rows = {r.day_no: (r.n, r.s, r.x) for r in out.collect()}
+    assert time.time() - began < 15
+    assert rows[0] == (35_970, 30, "X") and rows[35_970] == (0, 0, "X") and rows[35_971] == (None, 1, "X") and rows[36_499] == (None, 529, None)

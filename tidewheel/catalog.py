@@ -59,6 +59,10 @@ def w():
     return W.series("store")
 
 
+def back():
+    return W.series_backwards("store")
+
+
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rounded(df.select(*KEYS, *(c.alias(n) for n, c in columns.items())))
 
@@ -283,7 +287,7 @@ def event() -> Column:
 
 @query(f"{BASE} SELECT store, date, {NEXT_SQL} AS next_holiday_days FROM pos")
 def next_holiday_days(spark, sf_dir):
-    return pos(spark, sf_dir).select(*KEYS, W.next_event_days(event(), H, w()).alias("next_holiday_days"))
+    return pos(spark, sf_dir).select(*KEYS, W.next_event_days(event(), H, back()).alias("next_holiday_days"))
 
 
 @query(f"{BASE} SELECT store, date, {SINCE_SQL} AS prev_holiday_days FROM pos")
@@ -297,7 +301,7 @@ def wave_sql(days: str) -> str:
 
 
 def with_waves(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_next", W.next_event_days(event(), H, w())).withColumn("_since", W.since_event_days(event(), H, w()))
+    df = df.withColumn("_next", W.next_event_days(event(), H, back())).withColumn("_since", W.since_event_days(event(), H, w()))
     return df.withColumn("pre_holiday_wave", W.wave(F.col("_next"), CFG.sigma)).withColumn("post_holiday_wave", W.wave(F.col("_since"), CFG.sigma))
 
 
@@ -343,7 +347,7 @@ extended AS (SELECT store, date, CASE WHEN pre >= 0.011108996538242306::DOUBLE O
 def holiday_name_extended(spark, sf_dir):
     df, calendar = located(spark, sf_dir)
     df = P.with_holiday_name(with_waves(df), calendar, H)
-    return df.select(*KEYS, W.extended_name(F.col("name"), F.col("pre_holiday_wave"), F.col("post_holiday_wave"), CFG.extension_devs, w()).alias("holiday_name"))
+    return df.select(*KEYS, W.extended_name(F.col("name"), F.col("pre_holiday_wave"), F.col("post_holiday_wave"), CFG.extension_devs, w(), back()).alias("holiday_name"))
 
 
 @query(f"WITH {CALENDAR} SELECT date, " + ", ".join(f"coalesce(bool_or(subdiv = '{s}'), false) AS \"{s}\"" for s in STATES) + " FROM calendar GROUP BY date")

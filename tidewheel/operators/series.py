@@ -1,7 +1,9 @@
 """Calendar-indexed operators on a panel of daily series.
 
 All of them use one window, partitioned by the entity and ordered by the day's number, so that
-a query of many features has one exchange and one sort. Lags are by calendar, not by row.
+a query of many features has one exchange and one sort; what lies ahead is looked up in the same
+partitions from the last day to the first, so that every frame only grows from row to row. Lags
+are by calendar, not by row.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ def series(*entity: str) -> WindowSpec:
     return Window.partitionBy(*entity).orderBy(DAY)
 
 
+def series_backwards(*entity: str) -> WindowSpec:
+    """The same rows from the last day to the first."""
+    return Window.partitionBy(*entity).orderBy(F.col(DAY).desc())
+
+
 def at_offset(value: Column, days: int, w: WindowSpec) -> Column:
     """The value exactly so many days later (earlier if negative); null if that day is absent."""
     return F.max(value).over(w.rangeBetween(days, days))
@@ -87,10 +94,10 @@ def run_length(df: DataFrame, active: str, out: str, w: WindowSpec) -> DataFrame
     return df.withColumn(out, (F.col("_rn") - F.coalesce(off, F.lit(0))).cast("int")).drop("_rn")
 
 
-def next_event_days(event: Column, horizon: int, w: WindowSpec) -> Column:
-    """Days from day + horizon to the first event on or after it."""
+def next_event_days(event: Column, horizon: int, back: WindowSpec) -> Column:
+    """Days from day + horizon to the first event on or after it; ``back`` is the series backwards."""
     at = F.col(DAY) + horizon
-    return (F.min(F.when(event, F.col(DAY))).over(w.rangeBetween(horizon, Window.unboundedFollowing)) - at).cast("int")
+    return (F.min(F.when(event, F.col(DAY))).over(back.rangeBetween(Window.unboundedPreceding, -horizon)) - at).cast("int")
 
 
 def since_event_days(event: Column, horizon: int, w: WindowSpec) -> Column:
@@ -109,12 +116,12 @@ def wave(days: Column, sigma: float) -> Column:
     return F.when(F.abs(value) < WAVE_EPS, 0.0).otherwise(value)
 
 
-def extended_name(name: Column, pre: Column, post: Column, devs: float, w: WindowSpec) -> Column:
+def extended_name(name: Column, pre: Column, post: Column, devs: float, w: WindowSpec, back: WindowSpec) -> Column:
     """Within the waves' reach the nearer holiday's name: the next one's if pre >= post, else the last one's."""
     import math
 
     threshold = math.exp(-devs * devs / 2.0)
-    following = F.first(name, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    following = F.last(name, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     previous = F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return F.when((pre >= threshold) | (post >= threshold), F.when(pre >= post, following).otherwise(previous))
 

@@ -33,7 +33,11 @@ def positive(panel: DataFrame) -> DataFrame:
 
 
 def calendar_for(df: DataFrame, horizon: int, country: str = "DE") -> DataFrame:
-    """The holiday calendar of the years that the panel's days, and those days + horizon, fall in."""
+    """The holiday calendar of the years that the panel's days, and those days + horizon, fall in.
+
+    A job finds the first and the last day while the query is planned; give ``feature_matrix`` a
+    calendar to spare it.
+    """
     first, last = df.agg(F.min("date"), F.max(F.date_add("date", horizon))).first()
     if first is None:
         return holiday_calendar(df.sparkSession, 2000, 2000, country)
@@ -54,14 +58,14 @@ def feature_matrix(panel: DataFrame, cfg: Features = Features(), horizon: int =
     states = infer_subdivision(pos, calendar, "is_state_holiday")
     short = [(u, n) for u, n in cfg.lags if u in W.UNIT_DAYS]
     long = [(u, n) for u, n in cfg.lags if u in W.UNIT_MONTHS]
-    w = W.series(*ENTITY)
+    w, back = W.series(*ENTITY), W.series_backwards(*ENTITY)
     rows = W.with_month_lags(pos, "v", long, ENTITY)
     rows = W.run_length(rows, "promo", "_promo", w)
     rows = W.run_length(rows, "promo2", "_promo2", w)
     event = F.col("is_state_holiday")
     made: dict[str, Column] = {}
     made |= W.lag_columns(F.col("v"), short, w) | W.diff_columns(F.col("v"), cfg.diffs, w) | W.rolling_columns(F.col("v"), cfg.windows, w)
-    made |= {"_next": W.next_event_days(event, horizon, w), "_since": W.since_event_days(event, horizon, w)}
+    made |= {"_next": W.next_event_days(event, horizon, back), "_since": W.since_event_days(event, horizon, w)}
     made |= {"Promo": W.at_offset(F.col("_promo"), horizon, w), "Promo2": W.at_offset(F.col("_promo2"), horizon, w)}
     if with_target:
         made["y"] = W.at_offset(F.col("v"), horizon, w) - F.col("v")
@@ -69,7 +73,7 @@ def feature_matrix(panel: DataFrame, cfg: Features = Features(), horizon: int =
     rows = rows.select(*raw, *(c.alias(n) for n, c in made.items()))
     rows = rows.withColumn("pre_holiday_wave", W.wave(F.col("_next"), cfg.sigma)).withColumn("post_holiday_wave", W.wave(F.col("_since"), cfg.sigma))
     rows = with_holiday_name(rows.join(_maybe_broadcast(states), list(ENTITY)), calendar, horizon)
-    rows = rows.withColumn("holiday_name", W.extended_name(F.col("name"), F.col("pre_holiday_wave"), F.col("post_holiday_wave"), cfg.extension_devs, w))
+    rows = rows.withColumn("holiday_name", W.extended_name(F.col("name"), F.col("pre_holiday_wave"), F.col("post_holiday_wave"), cfg.extension_devs, w, back))
     parts = S.calendar_columns(F.date_add("date", horizon))
     columns = [f"lag_{u}_{n}" for u, n in cfg.lags] + [f"diff_{u}_{n}" for u, n in cfg.diffs] + [f"rolling_mean_{k}" for k in cfg.windows]
     out = rows.select(
