@@ -1,4 +1,4 @@
-"""One small session for all tests, and independent SQL over the same tables."""
+"""One small session for all tests."""
 
 import os
 import sys
@@ -7,8 +7,6 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-DATA = "/root/testdata"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -23,20 +21,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def duck(sf: str):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{sf}/{t}.parquet'")
-    return con
-
-
-def table(arrow) -> tuple[list[str], list[tuple]]:
-    """Column names with types, and rows as comparable text, both sorted."""
-    names = sorted(arrow.column_names)
-    columns = [arrow[n].to_pylist() for n in names]
-    text = lambda v: "~" if v is None else repr(v) if isinstance(v, float) else str(v).removesuffix(" 00:00:00")
-    return [f"{n}:{arrow.schema.field(n).type}" for n in names], sorted(tuple(map(text, row)) for row in zip(*columns))
