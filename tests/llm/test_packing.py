@@ -14,14 +14,12 @@ from tidewheel.llm import packing as P
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def tokens():
-    return P.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return P.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids(tokens, text):
@@ -32,10 +30,11 @@ def test_ids_equal_the_librarys(reference, tokens, monkeypatch):
     draw = random.Random(4)
     signs = "ab zé .,'st\n\t  　ßñ1٣漢字🙂#*!-_́‍<|endoftext|>"
     texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + [t for _, t, *_ in ROWS if t]
+    pieces = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", "one two", ".", " x", "é🙂"]
+    texts += ["".join(draw.choice(pieces) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
     assert all(ids(tokens, t) == reference.encode(t, add_special_tokens=False).ids for t in texts)
     monkeypatch.setattr(P, "SEGMENT", 20)  # cut at nearly every blank
-    monkeypatch.setattr(P, "CACHE_WORDS", 5)
-    assert all(ids(tokens, t) == reference.encode(t, add_special_tokens=False).ids for t in texts[:1000])
+    assert all(ids(tokens, t) == reference.encode(t, add_special_tokens=False).ids for t in texts[2500:])
 
 
 def check(rows, texts, reference, budget):

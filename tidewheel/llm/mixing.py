@@ -89,7 +89,9 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2
     given = F.floor((F.col("budget") - F.col("to") + F.col("words")) / F.col("n")).cast("long")
     cut = cut.select(F.col("sid").alias("cut_sid"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), given.alias("cut_words"))
     plan = budgets.drop("budget").join(cut, F.col("sid") == F.col("cut_sid"), "left").drop("cut_sid")
-    return sized, scratch.write(plan)
+    plan = scratch.write(plan)
+    scratch.only(sized, plan)
+    return sized, plan
 
 
 def _small(plan: DataFrame) -> DataFrame:
@@ -132,7 +134,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents are taken whole here: the one at the cut counts if at least half of it is wanted.
     Wordless documents, which no budget counts, come as often as their source's whole epochs.
     """
-    _, plan = plan_mix(docs, Scratch(docs.sparkSession, "mix"), **options)
+    scratch = Scratch(docs.sparkSession, "mix")
+    _, plan = plan_mix(docs, scratch, **options)
+    scratch.only(plan)
     held = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), sample_key(quality_weight()).alias("key"))
     out = with_sources(held, plan)
     extra = F.when(F.col("size") > 0, (2 * extra_words(F.col("size"), F.col("key")) >= F.col("size")).cast("long")).otherwise(F.lit(0))

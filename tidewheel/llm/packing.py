@@ -11,6 +11,7 @@ and their documents from all blocks are packed together in a further pass.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -26,67 +27,54 @@ from tidewheel.llm.common import Scratch, once_per_worker, read_table, small_bat
 
 #: The token that ends each document.
 END_ID = 2
-#: Words kept with their tokens by a worker, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
-#: Characters of a text that are cut into words at once.
+#: Characters of a text that are encoded at once.
 SEGMENT = 1 << 18
 
 
 class Tokens:
     """Token ids as little-endian uint32 bytes.
 
-    A blank before a visible character always begins a new token, so a text may be cut there and
-    its words looked up. ``ranks`` is a file of the vocabulary of a byte-level BPE tokenizer.
+    ``ranks`` is a file of the vocabulary of a byte-level BPE tokenizer, and ``vocabulary`` the
+    tokenizer's own file, which names the tokens added to it: these are found in a text before
+    all else. A blank before a visible character always begins a new token, so long texts are
+    cut there.
     """
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, vocabulary: str):
         import tiktoken
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        with open(vocabulary, encoding="utf-8") as file:
+            self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in json.load(file)["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
         self.encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.words: dict[str, bytes] = {}
-        self.double = re.compile(r" (?:\s|$)")
         self.safe = re.compile(r" (?=\S)")
 
-    def plain(self, text: str) -> bytes:
-        return array("I", self.encoding.encode_ordinary(text)).tobytes()
-
-    def word(self, word: str) -> bytes:
-        # letters after a blank are one piece, which needs no cutting up by the pattern
-        ids = array("I", self.encoding._encode_single_piece(f" {word}")).tobytes() if word.isalpha() else self.plain(f" {word}")
-        if len(word) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def segment(self, text: str) -> bytes:
-        if self.double.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        get, new = self.words.get, self.word
-        return (self.plain(first) if first else b"") + b"".join([get(w) or new(w) for w in rest])
-
     def encode(self, text: str) -> bytes:
-        if len(text) <= SEGMENT:
-            return self.segment(text)
+        if any(t in text for t in self.added):
+            return b"".join(self.added.get(part) or self.between(part) for part in self.split.split(text) if part)
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         parts, at = [], 0
         while at < len(text):
             cut = self.safe.search(text, at + SEGMENT)
             end = cut.start() if cut else len(text)
-            parts.append(self.segment(text[at:end]))
+            parts.append(array("I", self.encoding.encode_ordinary(text[at:end])).tobytes())
             at = end
         return b"".join(parts)
 
 
-def pieces(docs: DataFrame, ranks: str, budget: int) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, vocabulary: str, budget: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut to the budget."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        tokens = once_per_worker(f"tokens {ranks}", lambda: Tokens(ranks))
+        tokens = once_per_worker(f"tokens {ranks} {vocabulary}", lambda: Tokens(ranks, vocabulary))
         for batch in batches:
             out = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -245,7 +233,7 @@ def pack(pieces: DataFrame, scratch: Scratch, budget: int = 1024, block_items: i
     """Adds sequence_id and offset to ``pieces`` (uid unique, length from 1 to the budget)."""
     whole = pieces.where(F.col("length") == budget).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
     loose = pieces.where(F.col("length") < budget)
-    done = [whole]
+    done, tables = [whole], [pieces]
     default_tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(passes):
         count = loose.count()
@@ -267,23 +255,26 @@ def pack(pieces: DataFrame, scratch: Scratch, budget: int = 1024, block_items: i
         placed = ranked.join(places, ["block", "length", "place"])
         # a block may hold more than block_items, and each may take a bin of its own
         placed = scratch.write(placed.select(*loose.columns, F.when(F.col("bin") >= 0, (F.col("block") * passes + turn) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset"))
+        tables.append(placed)
         done.append(placed.where("sequence_id is not null"))
         loose = placed.where("sequence_id is null").drop("sequence_id", "offset")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    scratch.only(*(t for t in tables if hasattr(t, "_scratch_path")))
     return out
 
 
-def pack_documents(docs: DataFrame, budget: int = 1024, ranks: str | None = None, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, budget: int = 1024, ranks: str | None = None, vocabulary: str | None = None, **options) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     A null or empty text is the end token alone. Rows that repeat a doc_id are documents of
-    their own. An empty table gives an empty result. Other columns are not read.
+    their own. An empty table gives an empty result. Other columns are not read. Jobs run while
+    the result is planned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = pieces(docs, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), budget)
+    cut = pieces(docs, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), budget)
     cut = scratch.write(cut.withColumn("uid", F.monotonically_increasing_id()))
     return pack(cut, scratch, budget, **options).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
