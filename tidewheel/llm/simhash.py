@@ -6,7 +6,10 @@ of the Hamming distance of the fingerprints. At most 3 differing bits mean a Man
 of at most 3, hence of at most 1 in one half of the segments: the grid's cells are the halves'
 popcounts, each fingerprint sits in two cells and looks into the cells one step up, and a
 pair's bound and exact distance are checked inside the join. The rows grow with the number of
-distinct fingerprints (34 a fingerprint), never with the square of a group.
+distinct fingerprints (34 a fingerprint), and groups of near copies are joined by a star before.
+What one cell holds is compared with what looks into it: two random halves share a cell with a
+chance of about (3/8)^16, 1.5e-7, so comparisons (not rows) of unlike fingerprints grow with the
+square of their number once cells, 43 million a half, hold several each.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import Scratch, read_table, small_batches, whole_row
@@ -22,6 +25,8 @@ from tidewheel.llm.graph import components
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Rows that go, up to which their list (24 bytes each) is broadcast, more of them joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint_of(text: bytes, words: int = 3) -> int:
@@ -46,16 +51,25 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp) for every row of ``docs``; a null text counts as empty."""
+    """(doc_id, text_hash, other, fp) for every row of ``docs``; a null text counts as empty.
+
+    ``other`` is a hash of all columns, which tells rows apart that have an id and a text in common.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint_of(t or b"", words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            fps = [fingerprint_of(t or b"", words) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "other", "fp"])
+
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _all_columns(docs).alias("other"), F.col("text").cast("binary").alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, other long, fp long")
+
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, text_hash long, fp long")
+def _all_columns(docs: DataFrame) -> Column:
+    """A hash of a row; what cannot be hashed, such as a map, is hashed as JSON."""
+    plain = lambda kind: "map<" not in kind and "variant" not in kind
+    return F.xxhash64(*(F.col(f"`{c}`") if plain(kind) else F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) for c, kind in docs.dtypes if c != "text"))
 
 
 def _embedded(fps: DataFrame) -> DataFrame:
@@ -119,7 +133,7 @@ def linked(spark: SparkSession, counted: DataFrame, scratch: Scratch, distance:
 
 
 def _components(docs: DataFrame, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, fp) of every row, and (fp, first, component) of every fingerprint."""
+    """(doc_id, text_hash, other, fp) of every row, and (fp, first, component) of every fingerprint."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.write(fingerprints(docs, words))
@@ -146,16 +160,29 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     """Keeps one document of each group, the first by id and text hash, and all columns of ``docs``.
 
     Null ids come last. Rows of one id with different texts are documents of their own; of rows
-    with one id and text that differ elsewhere one is kept, the same in every run.
+    with one id and text that differ elsewhere one is kept, the same in every run, and of rows
+    that are alike in all columns any one. What goes is decided on ids and hashes; texts move
+    only if more than ``BROADCAST_ROWS`` rows go. Jobs run while the result is planned.
     """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
     fps, owners = _components(docs, words, distance)
+    key = ["doc_id", "text_hash", "other"]
+    single = fps.groupBy(*key, "fp").agg(F.count("*").alias("n")).withColumn("own", F.struct(F.col("doc_id").isNull().alias("no_id"), *key))
     # the first of each fingerprint, then of each group
-    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("own"))
-    keep = first.join(owners.select("fp", "component"), "fp").groupBy("component").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("keep_id"), F.col("own.text_hash").alias("keep_hash"))
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
-    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(*plain).alias("order"))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
-    return kept.groupBy("id", "hash").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    first = single.groupBy("fp").agg(F.min("own").alias("own")).join(owners.select("fp", "component"), "fp")
+    lead = first.groupBy("component").agg(F.min("own").alias("lead"))
+    of_fp = owners.select("fp", "component").join(lead, "component").select("fp", "lead")
+    judged = single.join(of_fp, "fp").withColumn("stays", F.col("own") == F.col("lead"))
+    acted = scratch.write(judged.where("not stays or n > 1").select(*(F.col(c).alias(f"{c}_") for c in key), "stays"))
+    size, again = acted.agg(F.count("*"), F.count(F.when(F.col("stays"), 1))).first()
+    right = F.broadcast(acted) if size <= BROADCAST_ROWS else acted
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _all_columns(docs).alias("other"))
+    on = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")) & (F.col("other") == F.col("other_"))
+    kept = rows.join(right, on, "left_anti").select("row.*")
+    if again:  # rows that are alike in all columns, of which one stays
+        alike = rows.join(F.broadcast(acted.where("stays")) if size <= BROADCAST_ROWS else acted.where("stays"), on, "left_semi")
+        kept = kept.unionByName(alike.groupBy(*key).agg(F.first("row").alias("row")).select("row.*"))
+    return kept
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
