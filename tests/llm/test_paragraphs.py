@@ -1,24 +1,60 @@
-"""Paragraph classes against all pairs of shingle sets."""
+"""Paragraph classes against all pairs of shingle sets, and planted passages."""
 
 import collections
 import random
 
+import numpy as np
+import pytest
 from messy import ROWS, documents, empty, words
+from pyspark.sql import functions as F
 
 from tidewheel.llm import paragraphs as P
 
 
-def brute(rows, min_words=25, similarity=0.8):
+def natural(text, least=25):
+    """(first, last word + 1) of lines with enough words, and of shorter lines that stand together."""
+    found, held, at = [], None, 0
+    lines = (text or "").encode().lower().split(b"\n")
+    for line in [*lines, b""]:
+        n = len(line.split())
+        if held and (n == 0 or n >= least):
+            if at - held[0] >= least:
+                found.append((held[0], at))
+            held = None
+        if n >= least:
+            found.append((at, at + n))
+        elif n and not held:
+            held = (at,)
+        at += n
+    return found
+
+
+def passages(text):
+    """(first, last word + 1) where a shingle is the lowest of some window in the text."""
+    made = P.Paragraphs(25, 1)
+    w = (text or "").encode().lower().split()
+    made.load([b" ".join(w)])
+    low, n = made.shingles.tolist(), len(w) - P.PASSAGE + 1
+    chosen = set()
+    for k in range(max(1, n - P.WINDOW + 1) if n > 0 else 0):
+        window = low[k : min(k + P.WINDOW, n)]
+        chosen |= {k + j for j, v in enumerate(window) if v == min(window)}
+    out, before = [], None
+    for k in sorted(chosen):
+        if w[k : k + P.PASSAGE] != before:
+            out.append((k, k + P.PASSAGE))
+        before = w[k : k + P.PASSAGE]
+    return out
+
+
+def brute(rows, similarity=0.8):
     found = []
-    for doc_id, text in rows:
-        k = 0
-        held = []
-        for line in (text or "").encode().lower().split(b"\n"):
-            w = line.split()
-            held = w if len(w) >= min_words else held + w
-            if len(held) >= min_words:
-                found.append((doc_id, k, len(held), {tuple(held[i : i + 5]) for i in range(len(held) - 4)}))
-                k, held = k + 1, []
+    for n, (doc_id, text) in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        own = sorted([(a, e - a, False) for a, e in natural(text)] + [(a, e - a, True) for a, e in passages(text)])
+        for k, (a, size, passage) in enumerate(own):
+            part = w[a : a + size]
+            found.append(((n, doc_id, k, size, passage), tuple(part) if passage else {tuple(part[i : i + 5]) for i in range(size - 4)}))
     parent = list(range(len(found)))
 
     def root(x):
@@ -26,25 +62,25 @@ def brute(rows, min_words=25, similarity=0.8):
             x = parent[x]
         return x
 
-    for i, a in enumerate(found):
+    for i, (key, a) in enumerate(found):
         for j in range(i):
-            both = len(a[3] & found[j][3])
-            if both >= similarity * (len(a[3]) + len(found[j][3]) - both):
+            b = found[j][1]
+            if key[4] == found[j][0][4] and (a == b if key[4] else len(a & b) >= similarity * len(a | b)):
                 parent[root(i)] = root(j)
     classes = collections.defaultdict(list)
-    for i, f in enumerate(found):
-        classes[root(i)].append(f[:3])
-    return {frozenset((d, k, n) for d, k, n in c): len(c) for c in classes.values() if len(c) > 1}
+    for i, (key, _) in enumerate(found):
+        classes[root(i)].append(key[1:])
+    return sorted(sorted(c, key=str) for c in classes.values() if len(c) > 1)
 
 
 def got(out):
     classes = collections.defaultdict(list)
     for r in out.collect():
-        classes[r.class_doc_id, r.class_paragraph].append(r)
-    for (doc, paragraph), own in classes.items():
-        assert {r.class_size for r in own} == {len(own)}
+        classes[r.class_doc_id, r.class_paragraph, r.passage].append(r)
+    for (doc, paragraph, _), own in classes.items():
+        assert {r.class_size for r in own} == {len(own)} and sum(r.kept for r in own) == 1
         assert [(r.doc_id, r.paragraph) for r in own if r.kept] == [min((r.doc_id, r.paragraph) for r in own)] == [(doc, paragraph)]
-    return {frozenset((r.doc_id, r.paragraph, r.n_words) for r in own): len(own) for own in classes.values()}
+    return sorted(sorted(((r.doc_id, r.paragraph, r.n_words, r.passage) for r in own), key=str) for own in classes.values())
 
 
 def changed(text, n, seed):
@@ -54,23 +90,26 @@ def changed(text, n, seed):
     return " ".join(w)
 
 
-def test_near_copies_and_shared_passages(spark):
-    passage = words(60, 50)
-    rows = [(k, f"{words(30, 100 + k)}\n{passage if k % 3 else changed(passage, 1, k)}\n{words(40, 200 + k)}\nshort line") for k in range(40)]
-    rows += [(100 + k, changed(words(200, 7), 3, k)) for k in range(30)] + [(200, words(200, 7)), (201, words(200, 7).upper() + "\r"), (202, changed(words(200, 7), 60, 3))]
+def table(spark, rows):
+    return documents(spark, [(d, t, None, None, None) for d, t in rows])
+
+
+def test_against_all_pairs(spark):
+    passage = words(70, 50)
+    rows = [(k, f"{words(30, 100 + k)}\n{passage if k % 3 else changed(passage, 1, k)}\n{words(40, 200 + k)}\nshort line") for k in range(14)]
+    rows += [(100 + k, changed(words(200, 7), 3, k)) for k in range(8)] + [(200, words(200, 7)), (201, words(200, 7).upper() + "\r"), (202, changed(words(200, 7), 60, 3))]
     short = [words(6, 300 + k) for k in range(12)]
     rows += [(300 + k, "\n".join([words(30 + k, 400 + k), "\r\n", *short, words(4, 500 + k)])) for k in range(5)]
-    rows.append((400, "of.\n" + words(60, 77) + "\nno."))
+    rows += [(400 + k, words(37 + k, 600 + k) + " " + words(50, 77) + " " + words(31, 700 + k)) for k in range(3)] + [(500, None), (501, "")]
     want = brute(rows)
-    assert got(P.paragraph_classes(documents(spark, [(d, t, None, None, None) for d, t in rows]))) == want
-    assert max(want.values()) >= 32
+    assert got(P.paragraph_classes(table(spark, rows))) == want
+    assert max(map(len, want)) >= 11 and {m[3] for c in want for m in c} == {True, False}
 
 
 def test_messy_documents(spark):
-    rows = [r for r in ROWS if r[0] is not None]
-    out = P.paragraph_classes(documents(spark, rows))
-    assert got(out) == brute([(r[0], r[1]) for r in rows])
-    assert P.paragraph_classes(documents(spark)).count() == out.count()
+    rows = [(100 + k, r[1]) for k, r in enumerate(ROWS)]
+    assert got(P.paragraph_classes(table(spark, rows))) == brute(rows)
+    assert P.paragraph_classes(documents(spark)).count() == sum(map(len, brute(rows)))
 
 
 def test_empty_table(spark):
@@ -79,7 +118,7 @@ def test_empty_table(spark):
 
 def test_places_are_bytes_of_the_text(spark):
     text = "  " + words(30, 1) + " \n" + words(30, 1)
-    rows = P.paragraph_classes(documents(spark, [(1, text, None, None, None)])).collect()
+    rows = P.paragraph_classes(table(spark, [(1, text)])).where("not passage").collect()
     assert [text.encode()[r.start : r.end].decode() for r in rows] == [words(30, 1), words(30, 1)]
 
 
@@ -88,67 +127,64 @@ def test_tuned_bands():
     assert 1 - (1 - 0.8**3) ** b >= 0.998 > 1 - (1 - 0.8**3) ** (b - 1)
 
 
-def begun(rows, min_words=25):
-    """(doc_id, first and last word) of the paragraphs that begin at each line and at each chosen place."""
-    for doc_id, text in rows:
-        made = P.Paragraphs(1)
-        w = (text or "").encode().lower().split()
-        made.load([b" ".join(w)])
-        low = made.shingles.tolist()
-        ends, at = [], 0
-        for line in (text or "").encode().split(b"\n"):
-            at += len(line.split())
-            ends.append(at)
-        found = {(a, next((e for e in ends if e - a >= min_words), None)) for a in {0, *ends}}
-        for k in range(len(low) - P.WINDOW + 1):
-            window = low[k : k + P.WINDOW]
-            found |= {(k + j, k + j + min_words) for j, v in enumerate(window) if v == min(window) and k + j + min_words <= len(w)}
-        yield from ((doc_id, w, a, e) for a, e in sorted((a, e) for a, e in found if e))
-
-
-def brute_everywhere(rows, similarity=0.8):
-    found, k, previous = [], 0, None
-    for doc_id, w, a, e in begun(rows):
-        k = k + 1 if doc_id == previous else 0
-        previous = doc_id
-        found.append((doc_id, k, e - a, {tuple(w[i : i + 5]) for i in range(a, e - 4)}))
-    parent = list(range(len(found)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(found):
-        for j in range(i):
-            both = len(a[3] & found[j][3])
-            if both >= similarity * (len(a[3]) + len(found[j][3]) - both):
-                parent[root(i)] = root(j)
-    classes = collections.defaultdict(list)
-    for i, f in enumerate(found):
-        classes[root(i)].append(f[:3])
-    return {frozenset(c): len(c) for c in classes.values() if len(c) > 1}
-
-
-def test_everywhere_against_all_pairs(spark):
-    passage = words(60, 50)
-    rows = [(k, f"{words(30, 100 + k)}\n{passage if k % 3 else changed(passage, 1, k)}\n{words(40, 200 + k)}\nshort line") for k in range(12)]
-    rows += [(100 + k, changed(words(200, 7), 3, k)) for k in range(6)]
-    short = [words(6, 300 + k) for k in range(12)]
-    rows += [(300 + k, "\n".join([words(3 + k, 400 + k), "\r\n", *short, words(4, 500 + k)])) for k in range(5)]
-    rows += [(400 + k, words(37 + k, 600 + k) + " " + words(50, 77) + " " + words(31, 700 + k)) for k in range(3)] + [(500, None), (501, "")]
-    docs = documents(spark, [(d, t, None, None, None) for d, t in rows])
-    assert got(P.paragraph_classes(docs, everywhere=True)) == brute_everywhere(rows)
-
-
-def test_a_passage_is_found_after_whatever_precedes_it(spark):
-    short = [words(6, 300 + k) for k in range(10)]
-    lines = [(k, "\n".join([words(3 + k, 400 + k), words(2, 450 + k), *short, words(40, 500 + k)])) for k in range(5)]
-    inside = [(100 + k, words(20 + 9 * k, 600 + k) + " " + words(50, 77) + " " + words(33, 700 + k)) for k in range(5)]
-    rows = P.paragraph_classes(documents(spark, [(d, t, None, None, None) for d, t in lines + inside]), everywhere=True).collect()
-    texts = dict(lines + inside)
-    shown = {d: [texts[d].encode()[r.start : r.end].decode() for r in rows if r.doc_id == d] for d in texts}
-    for k in range(6):
-        assert all("\n".join(short[k : k + 5]) in shown[d] for d, _ in lines)
-    for d, _ in inside:
-        assert any(s in words(50, 77) for s in shown[d])
+@pytest.mark.parametrize("shape", ["inside a line", "short lines"])
+def test_every_passage_of_over_fifty_words_is_found(spark, shape):
+    """Whatever stands before and after it, and however long that is."""
+    rows = []
+    for p in range(30):
+        passage = words(51 + p, 50 + p)
+        for k in range(3):
+            lead, tail = words(3 + 7 * p + 11 * k, 1000 + 10 * p + k), words(9 + 5 * k, 2000 + 10 * p + k)
+            if shape == "short lines":
+                w = passage.split()
+                passage_lines = "\n".join(" ".join(w[i : i + 6]) for i in range(0, len(w), 6))
+                rows.append((3 * p + k, f"{lead}\n{words(2 + k, 7 * p + k)}\n{passage_lines}\n{tail}"))
+            else:
+                rows.append((3 * p + k, f"{lead} {passage} {tail}"))
+    clean = [(1000 + k, words(150, 5000 + k)) for k in range(50)]
+    found = P.paragraph_classes(table(spark, rows + clean)).select("doc_id", "class_doc_id").distinct().collect()
+    assert {r.doc_id for r in found} == set(range(90))  # recall 1, and clean documents are left alone
+    assert all(r.doc_id // 3 == r.class_doc_id // 3 for r in found)
+
+
+def test_recall_of_nearly_equal_lines(spark):
+    rows = []
+    for p in range(60):
+        line = words(90, 50 + p)
+        rows += [(10 * p + k, f"{words(30, 9000 + 10 * p + k)}\n{changed(line, k % 2, 10 * p + k)}\n{words(26, 7000 + 10 * p + k)}") for k in range(4)]
+    found = {(r.doc_id, r.class_doc_id) for r in P.paragraph_classes(table(spark, rows)).where("not passage").select("doc_id", "class_doc_id").collect()}
+    assert len({d for d, _ in found}) >= 0.99 * len(rows)
+
+
+def test_a_common_passage_brings_no_pairs_about(spark):
+    """Lines that share half of their shingles lie in common buckets; those without a rare shingle in common are not paired."""
+    counts = []
+    for n in (60, 300):
+        passage = words(60, 50)
+        rows = [(k, f"{words(50, 100 + k)} {passage}") for k in range(n)] + [(10_000 + k, f"{words(49, 100 + k)} once {passage}") for k in range(0, n, 10)]
+        made = P.Paragraphs(25, 1)
+        made.load([t.encode() for _, t in rows])
+        lines = np.flatnonzero(~made.passage)
+        sets = [(int(made.node[k].view(np.int64)), made.shingle_set(k).view(np.int64).tolist()) for k in lines]
+        sets = spark.createDataFrame(sets, "node long, shingles array<long>")
+        pairs = P._pairs_by_rare_shingles(sets.select("node", F.col("node").alias("part")), sets, 0.8).collect()
+        counts.append(len(pairs))
+        assert P._verified(spark.createDataFrame(pairs), sets, 0.8).count() == n // 10
+        assert P.paragraph_classes(table(spark, rows)).where("not passage").count() == 2 * (n // 10)
+    assert counts[1] <= 6 * counts[0]
+
+
+def test_marks_hold_every_node(spark):
+    nodes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    marks = P._marks(spark.createDataFrame([(int(n),) for n in nodes], "node long"))
+    assert P._marked(nodes.view(np.uint64), marks).all() and marks.nbytes == 8 << 20
+    others = np.random.default_rng(2).integers(0, 2**63 - 1, 5000).view(np.uint64)
+    assert P._marked(others, marks).mean() < 0.01
+    assert not P._marks(spark.createDataFrame([], "node long")).any()
+
+
+def test_components_of_pairs_across_parts(spark):
+    """Two near lines whose buckets' commonest lines are others still meet."""
+    line = words(80, 3)
+    rows = [(k, line) for k in range(3)] + [(10 + k, changed(line, 2, 1)) for k in range(2)] + [(20, " ".join(changed(line, 2, 1).split()[:-1] + ["end"]))]
+    assert got(P.paragraph_classes(table(spark, rows)).where("not passage")) == [c for c in brute(rows) if not c[0][3]]
