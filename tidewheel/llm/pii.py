@@ -147,16 +147,23 @@ def _in_documents(docs: DataFrame, mentions: DataFrame, counts: DataFrame, scrat
 
 
 def _places_of(docs: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
-    """(text_hash, start, end) of every occurrence of the terms in the corpus."""
+    """(text_hash, start, end) of every occurrence of the terms in the corpus.
+
+    A text that has some is cut at just their forms in it, so no rows come of its other words.
+    """
     right = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    texts = scratch.write(_terms(docs).join(right, "term", "left_semi").select("text_hash").distinct())
-    gaps = F.split("text", TERM, -1)
-    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), gaps.alias("g"))
-    one = _texts(docs, texts).withColumn("uid", F.monotonically_increasing_id())  # numbered before they are taken apart
-    rows = one.select(F.xxhash64("text").alias("text_hash"), "uid", F.posexplode(F.filter(zipped, lambda z: z["m"].isNotNull())).alias("pos", "z"))
-    run = F.sum(F.length("z.g") + F.length("z.m")).over(Window.partitionBy("uid").orderBy("pos"))
-    placed = rows.select("text_hash", F.lower("z.m").alias("term"), (run - F.length("z.m")).cast("long").alias("start"), run.cast("long").alias("end"))
-    return placed.join(right, "term", "left_semi").select("text_hash", "start", "end").distinct()
+    held = _terms(docs).join(right, "term", "left_semi").groupBy("text_hash").agg(F.collect_set("term").alias("terms")).withColumnRenamed("text_hash", "held_hash")
+    held = scratch.write(held)
+    size = held.agg(F.sum(F.size("terms"))).first()[0] or 0
+    held = F.broadcast(held) if size <= BROADCAST_TEXTS else held
+    inside = docs.select("text", F.xxhash64("text").alias("text_hash")).join(held, F.col("text_hash") == F.col("held_hash"))
+    forms = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), lambda x: F.array_contains(F.col("terms"), F.lower(x)))
+    inside = inside.withColumn("forms", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})")))
+    cut = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.col("forms"), F.lit(0)), lambda x: F.length(x)).alias("m"), F.transform(F.split("text", F.col("forms"), -1), lambda x: F.length(x)).alias("g"))
+    once = inside.select("text_hash", F.filter(cut, lambda x: x["m"].isNotNull()).alias("cut")).dropDuplicates(["text_hash"])
+    rows = once.select("text_hash", F.posexplode("cut").alias("pos", "z"))
+    run = F.sum(F.col("z.g") + F.col("z.m")).over(Window.partitionBy("text_hash").orderBy("pos"))
+    return rows.select("text_hash", (run - F.col("z.m")).cast("long").alias("start"), run.cast("long").alias("end"))
 
 
 def revealing_terms(docs: DataFrame, mentions: DataFrame, scratch: Scratch, bits: float = 4.0, share: float = 0.5, contexts: int = 3) -> DataFrame:
@@ -199,7 +206,8 @@ def find_spans(docs: DataFrame, scratch: Scratch | None = None, **thresholds) ->
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     found = scratch.write(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _matches(text_or_empty()).alias("found")).withColumn("uid", F.monotonically_increasing_id()))
     mentions = scratch.write(_mentions(found))
-    terms = revealing_terms(docs, mentions, scratch, **thresholds)
+    terms = scratch.write(revealing_terms(docs, mentions, scratch, **thresholds))
+    scratch.only(found, mentions, terms)
     listed = lambda kind: F.sort_array(F.collect_list(F.struct(kind.cast("int").alias("kind"), "start", "end")))
     base = mentions.groupBy("uid").agg(listed(F.col("kind")).alias("base"))
     more = terms.groupBy("text_hash").agg(listed(F.lit(len(KINDS))).alias("more"))
@@ -212,8 +220,9 @@ def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with base spans replaced by [EMAIL], [IP], [CARD] or [PHONE], and revealing terms by [TERM].
 
     All spans are those that ``find_spans`` gives on the text as it is; overlapping ones are
-    replaced as one, by the label of the first kind among them. n_chars, where there is such a
-    column, is counted anew. A null text stays null. All rows and columns are kept.
+    replaced as one, by the label of the first kind among them, so no part of any of them stays.
+    n_chars, where there is such a column, is counted anew. A null text stays null. All rows and
+    columns are kept. Jobs run while the result is planned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "redact")
@@ -224,6 +233,7 @@ def redact(docs: DataFrame, **thresholds) -> DataFrame:
     each = each.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("part", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     merged = each.groupBy("text_hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kind").alias("kind"))
     cuts = scratch.write(merged.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")).withColumnRenamed("text_hash", "cut_hash"))
+    scratch.only(cuts)
     n_cuts = cuts.count()
     out = docs.select(whole_row(docs).alias("row"), "text")
     if n_cuts:
