@@ -9,6 +9,7 @@ from messy import ROWS, documents, empty, words
 from pyspark.sql import functions as F
 
 from tidewheel.llm import paragraphs as P
+from tidewheel.llm.common import marked, marks_of
 
 
 def natural(text, least=25):
@@ -176,11 +177,11 @@ def test_a_common_passage_brings_no_pairs_about(spark):
 
 def test_marks_hold_every_node(spark):
     nodes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    marks = P._marks(spark.createDataFrame([(int(n),) for n in nodes], "node long"))
-    assert P._marked(nodes.view(np.uint64), marks).all() and marks.nbytes == 8 << 20
+    marks = marks_of(spark.createDataFrame([(int(n),) for n in nodes], "node long"), "node")
+    assert marked(nodes.view(np.uint64), marks).all() and marks.nbytes == 8 << 20
     others = np.random.default_rng(2).integers(0, 2**63 - 1, 5000).view(np.uint64)
-    assert P._marked(others, marks).mean() < 0.01
-    assert not P._marks(spark.createDataFrame([], "node long")).any()
+    assert marked(others, marks).mean() < 0.01
+    assert not marks_of(spark.createDataFrame([], "node long"), "node").any()
 
 
 def test_components_of_pairs_across_parts(spark):

@@ -8,6 +8,7 @@ import pytest
 from messy import ROWS, documents, empty
 
 from tidewheel.llm import substrings as S
+from tidewheel.llm.common import Scratch
 
 
 def brute(texts, length=400):
@@ -34,7 +35,7 @@ def planted(seed=6):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
+@pytest.mark.parametrize("crowd", [4096, 1])
 def test_planted_repeats(spark, monkeypatch, crowd):
     monkeypatch.setattr(S, "CROWD", crowd)
     texts = planted()
@@ -55,16 +56,53 @@ def test_empty_table(spark):
     assert S.without_repeats(empty(spark)).count() == 0
 
 
-def test_family_marks_matches_in_and_across_batches():
-    rng = np.random.default_rng(2)
-    values = rng.integers(0, 400, 1000, dtype=np.uint64)
-    family = S.SuffixFamily()
-    for part in np.array_split(values, 17):
-        family.add(part)
-    count = collections.Counter(values.tolist())
-    assert family.matched.tolist() == [count[v] > 1 for v in values.tolist()]
-    sizes = [len(level) for level, _ in family.levels]
-    assert sum(sizes) == 1000 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+def naive(heads, suffixes, new, length):
+    windows = [[(h + s)[k : k + length] for k in range(len(h) + len(s) - length + 1)] for h, s in zip(heads, suffixes)]
+    return [
+        {k for k, w in enumerate(own) if any(j != i and (new[i] or new[j]) and len(heads[j]) - len(heads[i]) + k in range(len(windows[j])) and windows[j][len(heads[j]) - len(heads[i]) + k] == w for j in range(len(heads)))}
+        for i, own in enumerate(windows)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matches_of_an_anchor_against_all_pairs(monkeypatch, seed):
+    """Entries that share parts of their heads and suffixes; equal hashes of different grams would look the same."""
+    monkeypatch.setattr(S, "GRAM", 4)
+    draw = random.Random(seed)
+    bytes_of = lambda n: bytes(draw.choice(b"ab") for _ in range(n))
+    left, right = [bytes_of(10) for _ in range(3)], [bytes_of(14) for _ in range(3)]
+    entries = []
+    for _ in range(draw.choice([2, 5, 30])):
+        a, b = draw.randint(0, 10), draw.randint(0, 10)
+        suffix = draw.choice(right)[: 4 + b] + bytes_of(10 - b)
+        entries.append(((bytes_of(10 - a) + draw.choice(left)[10 - a :])[draw.randint(0, 6) :], suffix))
+    entries = sorted(set(entries), key=lambda e: e[1])
+    heads, suffixes = map(list, zip(*entries))
+    new = [draw.random() < 0.7 for _ in heads]
+    windows = lambda found: [{k for a, b in runs for k in range(a, b)} for runs in found]
+    every = naive(heads, suffixes, [True] * len(heads), 14)
+    assert windows(S.matches(heads, suffixes, [True] * len(heads), 14)) == every
+    # what an earlier scan has found among the old entries, and what this one adds
+    old = [i for i, n in enumerate(new) if not n]
+    before = dict(zip(old, windows(S.matches([heads[i] for i in old], [suffixes[i] for i in old], [True] * len(old), 14))))
+    added = windows(S.matches(heads, suffixes, new, 14))
+    assert [a | before.get(i, set()) for i, a in enumerate(added)] == every
+
+
+def test_levels_grow_geometrically_and_every_batch_meets_them(spark):
+    draw = random.Random(3)
+    text = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
+    shared, family, seen, found = text(500), S.SuffixFamily(Scratch(spark, "t"), 400), 0, set()
+    for k in range(9):
+        rows = [(1, k, 0, 1, bytes([65 + k]) * 20 + shared[:100], shared[100:]), (2 + k, k, 1, 1, text(100), text(400))]
+        out = family.add(spark.createDataFrame(rows, "anchor long, around long, around2 long, n long, head binary, suffix binary")).collect()
+        seen += len(rows)
+        found |= {r.around for r in out}
+        assert found == (set(range(k + 1)) if k else set())
+        assert all((r.start, r.end) == (20, 121) for r in out)
+        sizes = [n for n, _ in family.levels]
+        assert sum(sizes) == seen and sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes) == bin(k + 1).count("1")
+        assert [t.count() for _, t in family.levels] == sizes
 
 
 def test_equal_windows_have_equal_anchors():

@@ -9,12 +9,15 @@ import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a Python worker holds one batch of whole texts at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Bits of a table of marks: 8 MB, whatever is marked.
+MARK_BITS = 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,3 +106,22 @@ def once_per_worker(key: str, make: Callable[[], object]) -> object:
     if key not in held.__dict__:
         held.__dict__[key] = make()
     return held.__dict__[key]
+
+
+def marks_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for the low bits of each 64-bit key: a table of fixed size, gathered as its words.
+
+    What tasks drop by it has no key in the table. It may let other rows pass, more of them as
+    it fills up with the corpus; these go to the joins that follow, and no result changes.
+    """
+    own = keys.select(F.expr(f"({column} & {(1 << MARK_BITS) - 1}) >> 6").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+    found = own.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether each key (unsigned) is marked."""
+    low = keys & np.uint64((1 << MARK_BITS) - 1)
+    return (marks[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)

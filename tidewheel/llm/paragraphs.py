@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Scratch, read_table, small_batches
+from tidewheel.llm.common import Scratch, marked, marks_of, read_table, small_batches
 from tidewheel.llm.graph import components
 from tidewheel.llm.substrings import Hasher, _mixed
 
@@ -28,9 +28,6 @@ MIN_WORDS, SHINGLE, SIMILARITY, RECALL = 25, 5, 0.8, 0.998
 #: Words of a passage, and how many words one after another hold the beginning of one at least:
 #: of PASSAGE + WINDOW - 1 words that repeat, some passage repeats.
 PASSAGE, WINDOW = 20, 31
-#: Marks of nodes that a task is told of: 8 MB, whatever the number of nodes. Where they fill up
-#: with the corpus, more rows go to the joins after them, and no result changes.
-MARK_BITS = 26
 #: Bytes of text whose words are hashed at once.
 BUFFER = 1 << 21
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -210,20 +207,6 @@ def _bucket_rows(keyed: DataFrame, min_words: int, bands: int) -> DataFrame:
     return keyed.select("text").mapInArrow(run, "bucket long, node long, n long")
 
 
-def _marks(nodes: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each node: a table of fixed size, gathered as its words."""
-    own = nodes.select(F.expr(f"(node & {(1 << MARK_BITS) - 1}) >> 6").alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
-    found = own.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _marked(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    low = nodes & np.uint64((1 << MARK_BITS) - 1)
-    return (marks[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _places(keyed: DataFrame, min_words: int, wanted: np.ndarray, compared: np.ndarray) -> DataFrame:
     """A row for each paragraph whose node is marked as wanted; with its shingles, once in a buffer, if marked as compared."""
     context = keyed.sparkSession.sparkContext
@@ -237,12 +220,12 @@ def _places(keyed: DataFrame, min_words: int, wanted: np.ndarray, compared: np.n
             for a, b in _grouped(texts):
                 made.load(texts[a:b])
                 order = np.arange(len(made.row)) - np.searchsorted(made.row, made.row)
-                at = np.flatnonzero(_marked(made.node, wanted.value))
+                at = np.flatnonzero(marked(made.node, wanted.value))
                 if not len(at):
                     continue
                 lead = np.zeros(len(made.node), bool)
                 lead[np.unique(made.node, return_index=True)[1]] = True
-                sets = (made.shingle_set(k).view(np.int64) if give else None for k, give in zip(at.tolist(), (lead & ~made.passage & _marked(made.node, compared.value))[at].tolist()))
+                sets = (made.shingle_set(k).view(np.int64) if give else None for k, give in zip(at.tolist(), (lead & ~made.passage & marked(made.node, compared.value))[at].tolist()))
                 take = pa.array(made.row[at] + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(order[at].astype(np.int32)), pa.array(made.passage[at]), pa.array(made.start[at]), pa.array(made.end[at]), pa.array(made.count[at].astype(np.int32)), pa.array(made.node[at].view(np.int64)), pa.array(list(sets), out.field(8).type)], schema=out
@@ -306,7 +289,7 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     met = scratch.write(rows.withColumn("lead", commonest).where("node <> lead or (bucket = node and n > 1)").select("bucket", "node", "lead"))
     edges = met.where("node <> lead")
     compared = edges.select(F.explode(F.array("node", "lead")).alias("node"))
-    found = scratch.write(_places(keyed, min_words, _marks(met.select(F.explode(F.array("node", "lead")).alias("node"))), _marks(compared)))
+    found = scratch.write(_places(keyed, min_words, marks_of(met.select(F.explode(F.array("node", "lead")).alias("node")), "node"), marks_of(compared, "node")))
     sets = scratch.write(found.where("shingles is not null").groupBy("node").agg(F.first("shingles").alias("shingles")))
     first = _verified(edges.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), sets, similarity)
     parts = scratch.write(components(spark, first, scratch))
