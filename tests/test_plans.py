@@ -116,7 +116,7 @@ def test_settings_from_yaml(tmp_path):
     "make",
     [
         lambda: settings.offsets({"decades": [1]}), lambda: settings.offsets({"days": [-1]}), lambda: settings.CrossValidation(0, 3), lambda: settings.Tuning(num_jobs=0),
-        lambda: settings.Tuning(refit_val_fraction=1.0), lambda: settings.Model(verbosity=4), lambda: settings.Range("suggest_categorical", 0, 1), lambda: settings.Range("suggest_int", 2, 2),
+        lambda: settings.Tuning(refit_val_fraction=1.0), lambda: settings.Model(verbosity=4), lambda: settings.Range("suggest_categorical", 0, 1), lambda: settings.Range("suggest_int", 0, 1, choices=(1,)), lambda: settings.Range("suggest_int", 2, 2),
         lambda: settings.Settings(settings.Paths("a", "b"), horizon=-1),
     ],
 )
@@ -147,6 +147,88 @@ def test_search_resumes_and_prunes(tmp_path):
     assert len(ran) == 5 and search.Study(journal, settings.SPACE, tuning).remaining() == 0
 
 
+def test_a_failed_trial_is_journalled_and_not_run_again(tmp_path):
+    journal, ran = search.Journal(str(tmp_path), "s"), []
+
+    def objective(params, report):
+        ran.append(report.trial)
+        if report.trial == 1:
+            raise OSError("a lost executor")
+        return 1.0, {}
+
+    study = search.Study(journal, settings.SPACE, settings.Tuning(num_trials=3, num_jobs=1))
+    with pytest.raises(OSError):
+        study.optimize(objective)
+    assert [t["state"] for t in journal.read()][:2] == ["COMPLETE", "FAIL"] and "lost executor" in journal.read()[1]["error"]
+    study.optimize(objective)
+    assert study.remaining() == 0 and ran.count(1) == 1 and len(study.finished()) == 3
+
+
+def test_journal_lines_of_several_processes_are_whole(tmp_path):
+    import subprocess
+    import sys
+
+    write = "import sys; from tidewheel.plans.search import Journal; j = Journal(sys.argv[1], 's'); [j.append({'trial': k, 'state': 'COMPLETE', 'x': 'y' * 5000}) for k in range(50)]"
+    running = [subprocess.Popen([sys.executable, "-c", write, str(tmp_path)], env={"PYTHONPATH": ":".join(sys.path)}) for _ in range(3)]
+    assert all(p.wait() == 0 for p in running)
+    assert len(search.Journal(str(tmp_path), "s").read()) == 150
+
+
+def test_later_trials_gather_where_the_loss_is_low(tmp_path):
+    space = {"x": settings.Range("suggest_float", -10.0, 10.0), "n": settings.Range("suggest_int", 1, 9), "lr": settings.Range("suggest_float", 1e-4, 1.0, True), "kind": settings.Range("suggest_categorical", choices=("a", "b", "c"))}
+    study = search.Study(search.Journal(str(tmp_path), "s"), space, settings.Tuning(num_trials=60, num_jobs=1))
+    best = study.optimize(lambda p, report: ((p["x"] - 3) ** 2 + (p["n"] - 4) ** 2 + (p["kind"] != "b") * 5 + abs(p["lr"] - 0.01), {}))
+    trials = [t["params"] for t in study.finished()]
+    early, late = trials[:10], trials[30:]
+    miss = lambda part: sum(abs(p["x"] - 3) for p in part) / len(part)
+    assert miss(late) < 0.6 * miss(early) and sum(p["kind"] == "b" for p in late) > 15 and best["params"]["kind"] == "b"
+    assert all(1 <= p["n"] <= 9 and isinstance(p["n"], int) and 1e-4 <= p["lr"] <= 1 and -10 <= p["x"] <= 10 for p in trials)
+
+
+def test_training_stops_with_the_curve(spark, monkeypatch):
+    """Patience and pruning end the training itself: no model has many more rounds than were looked at."""
+    import random
+
+    from tidewheel.plans import model
+
+    draw, trained = random.Random(2), []
+    rows = [(k % 3, D("2020-01-01") + dt.timedelta(days=k // 3), float(k % 7), draw.gauss(0, 1)) for k in range(180)]
+    data = spark.createDataFrame(rows, "store int, date date, x double, y double").persist()
+    real = model.regressor
+    monkeypatch.setattr(model, "regressor", lambda params, rounds, seed: trained.append(rounds) or real(params, rounds, seed))
+    cut = CV.TimeSeriesCV(1, 40, 10, 3)
+    curve = model.cv_curve(data, cut, {"max_depth": 3}, 10_000, patience=3, first_rounds=4)
+    assert len(curve) <= 32 and max(trained) < 2 * max(4, len(curve)) + 1 and trained[:2] == [4, 8][: len(trained)]
+    whole = model.cv_curve(data, cut, {"max_depth": 3}, len(curve), patience=10_000, first_rounds=1000)
+    assert [m for _, m, _ in whole] == pytest.approx([m for _, m, _ in curve])  # as if trained at once
+    trained.clear()
+
+    def report(k, mean):
+        if k == 2:
+            raise search.Pruned
+
+    with pytest.raises(search.Pruned):
+        model.cv_curve(data, cut, {"max_depth": 3}, 10_000, report=report, first_rounds=4)
+    assert trained == [4]
+
+
+def test_registered_forecast_and_study(spark):
+    """What SQL cannot express of them: which rows there are, closed days, and errors below those of a constant."""
+    from tables import DATA
+
+    from tidewheel import catalog
+
+    rows = catalog.QUERIES["boosted_trees_forecast"](spark, f"{DATA}/sf0.01").collect()
+    want = {(r.store, r.date) for r in catalog.QUERIES["fold_union"](spark, f"{DATA}/sf0.01").select("store", "date").collect()}
+    assert {(r.store, r.date) for r in rows} == want and len(rows) == len(want)
+    actual = [r.sales_actual for r in rows]
+    mean = sum(actual) / len(actual)
+    assert all(r.sales_predicted >= 0 for r in rows)
+    assert sum(abs(r.sales_predicted - r.sales_actual) for r in rows) < 2 * sum(abs(a - mean) for a in actual)
+    trials = catalog.QUERIES["random_search_study"](spark, f"{DATA}/sf0.01").collect()
+    assert sorted(t.trial for t in trials) == [0, 1, 2] and {t.state for t in trials} <= {"COMPLETE", "PRUNED"} and all(t.value > 0 for t in trials if t.state == "COMPLETE")
+
+
 def test_csv_sources_and_sink(spark, tmp_path):
     (tmp_path / "train.csv").write_text("Store,DayOfWeek,Date,Sales,Customers,Open,Promo,StateHoliday,SchoolHoliday\n1,5,2015-07-31,5263,555,1,1,0,1\n2,5,2015-07-31,6064,625,1,1,a,0\n")
     (tmp_path / "store.csv").write_text("Store,StoreType,Assortment,CompetitionDistance,CompetitionOpenSinceMonth,CompetitionOpenSinceYear,Promo2,Promo2SinceWeek,Promo2SinceYear,PromoInterval\n1,c,a,1270,9,2008,0,,,\n")

@@ -45,11 +45,9 @@ def forecast(spark: SparkSession, raw: DataFrame, cfg: Settings, work_dir: str)
 
         def objective(params, report, train=train, name=name):
             models = [] if cfg.path.store_trial_artifacts else None
-            curve = T.cv_curve(train, inner, params, cfg.tuning.num_boost_rounds, cfg.tuning.early_stopping_rounds, cfg.tuning.seed, models)
+            curve = T.cv_curve(train, inner, params, cfg.tuning.num_boost_rounds, cfg.tuning.early_stopping_rounds, cfg.tuning.seed, models, report)
             if models is not None:
-                T.save_trial(os.path.join(work_dir, name, f"trial_{report.trial:04d}"), curve, models)
-            for step, mean, _ in curve:
-                report(step, mean)
+                T.save_trial(spark, os.path.join(work_dir, name, f"trial_{report.trial:04d}"), curve, models)
             step, loss, _ = min(curve, key=lambda c: c[1])
             return loss, {"best_n_rounds": step + 1}
 

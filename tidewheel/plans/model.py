@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import os
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -16,6 +16,8 @@ from tidewheel.operators.cv import TimeSeriesCV
 
 #: What stands in for a missing number; trees then split it off.
 MISSING = -9999.0
+#: Rounds that are trained before the curve is looked at; each further step doubles them.
+FIRST_ROUNDS = 32
 
 
 def assembler(df: DataFrame, keys: tuple[str, ...] = ("store", "date"), target: str = "y") -> Pipeline:
@@ -42,26 +44,48 @@ def regressor(params: dict, rounds: int, seed: int = 42) -> GBTRegressor:
     )
 
 
-def cv_curve(train: DataFrame, cv: TimeSeriesCV, params: dict, rounds: int, patience: int = 50, seed: int = 42, collect: list | None = None) -> list[tuple[int, float, float]]:
+def cv_curve(
+    train: DataFrame, cv: TimeSeriesCV, params: dict, rounds: int, patience: int = 50, seed: int = 42, collect: list | None = None,
+    report: Callable[[int, float], None] | None = None, first_rounds: int = FIRST_ROUNDS,
+) -> list[tuple[int, float, float]]:
     """(round, mean, std) of the folds' RMSE after each round, until ``patience`` rounds bring no gain.
 
-    The folds' models are appended to ``collect``, if it is given.
+    All folds are trained for some rounds, then for twice as many, and so on: training stops with
+    the step in which patience ends or ``report(round, mean)`` raises, and no more than twice the
+    rounds needed are trained, four times with those of earlier steps. A step's trees begin with
+    those of the step before, for the seed is the same. The last step's models, a fold each, are
+    appended to ``collect``, if it is given.
     """
-    curves = []
+    folds = []
     for fit_rows, test_rows in cv.split(train):
         pipe = assembler(fit_rows).fit(numeric(fit_rows))
-        model = regressor(params, rounds, seed).fit(pipe.transform(numeric(fit_rows)))
-        if collect is not None:
-            collect.append(PipelineModel([*pipe.stages, model]))
-        curves.append([math.sqrt(v) for v in model.evaluateEachIteration(pipe.transform(numeric(test_rows)), "squared")])
-    out, best, at = [], math.inf, 0
-    for k, values in enumerate(zip(*curves)):
-        mean = sum(values) / len(values)
-        out.append((k, mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))))
-        if mean < best:
-            best, at = mean, k
-        elif k - at >= patience:
-            break
+        folds.append((pipe, pipe.transform(numeric(fit_rows)).select("features", "y").persist(), pipe.transform(numeric(test_rows)).select("features", "y").persist()))
+    out: list[tuple[int, float, float]] = []
+    best, at, size = math.inf, 0, min(rounds, first_rounds)
+    try:
+        while True:
+            models = [regressor(params, size, seed).fit(rows) for _, rows, _ in folds]
+            curves = [[math.sqrt(v) for v in m.evaluateEachIteration(rows, "squared")] for m, (_, _, rows) in zip(models, folds)]
+            stopped = False
+            for k, values in list(enumerate(zip(*curves)))[len(out) :]:
+                mean = sum(values) / len(values)
+                out.append((k, mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))))
+                if report is not None:
+                    report(k, mean)
+                if mean < best:
+                    best, at = mean, k
+                elif k - at >= patience:
+                    stopped = True
+                    break
+            if stopped or size >= rounds:
+                break
+            size = min(rounds, 2 * size)
+    finally:
+        for _, *tables in folds:
+            for rows in tables:
+                rows.unpersist()
+    if collect is not None:
+        collect += [PipelineModel([*pipe.stages, model]) for (pipe, _, _), model in zip(folds, models)]
     return out
 
 
@@ -91,10 +115,13 @@ def rmse(model: PipelineModel, rows: DataFrame) -> float:
     return RegressionEvaluator(labelCol="y").evaluate(model.transform(numeric(rows)))
 
 
-def save_trial(folder: str, curve: list[tuple[int, float, float]], models: list[PipelineModel]) -> None:
-    """A trial's curve as CSV, and its folds' models."""
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "cv_history.csv"), "w", encoding="utf-8") as out:
-        out.write("round,mean,std\n" + "".join(f"{k},{mean},{std}\n" for k, mean, std in curve))
+def save_trial(spark: SparkSession, folder: str, curve: list[tuple[int, float, float]], models: list[PipelineModel]) -> None:
+    """A trial's curve as CSV, and its folds' models, all on the filesystem that ``folder`` names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder, "cv_history.csv")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(("round,mean,std\n" + "".join(f"{k},{mean},{std}\n" for k, mean, std in curve)).encode()))
+    finally:
+        out.close()
     for k, fold in enumerate(models):
-        fold.write().overwrite().save(os.path.join(folder, f"fold_{k}"))
+        fold.write().overwrite().save(f"{folder}/fold_{k}")

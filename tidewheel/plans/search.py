@@ -1,7 +1,12 @@
-"""A resumable random search with median pruning; its journal is a file of JSON lines."""
+"""A resumable search with median pruning; its journal is a file of JSON lines.
+
+The first trials are drawn at random, later ones by tree-structured Parzen estimators: what the
+best trials have in common against the others.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
@@ -17,26 +22,79 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel.plans.settings import Range, Tuning
 
 TRIAL_SCHEMA = "trial int, state string, value double, seconds double"
+#: The share of the complete trials that count as good, how many of them at most, and points tried for each draw.
+GOOD, MOST_GOOD, TRIED = 0.1, 25, 24
 
 
 class Pruned(Exception):
     """A trial that falls behind the median of earlier ones."""
 
 
-def draw(space: dict[str, Range], rng: random.Random) -> dict[str, float | int]:
+def draw(space: dict[str, Range], rng: random.Random) -> dict:
     """One point of the space: uniform, or log-uniform where the range says so."""
+    return {name: rng.choice(r.choices) if r.choices else _value(r, rng.uniform(*_ends(r))) for name, r in space.items()}
+
+
+def _ends(r: Range) -> tuple[float, float]:
+    """The range on the scale that it is drawn on; whole numbers have a unit each."""
+    low, high = (r.low - 0.5, r.high + 0.5) if r.method == "suggest_int" else (r.low, r.high)
+    return (math.log(max(low, 1e-300)), math.log(high)) if r.log else (low, high)
+
+
+def _scaled(r: Range, value: float) -> float:
+    return math.log(value) if r.log else value
+
+
+def _value(r: Range, x: float) -> float | int:
+    x = math.exp(x) if r.log else x
+    return min(int(r.high), max(int(r.low), round(x))) if r.method == "suggest_int" else min(r.high, max(r.low, x))
+
+
+class _Parzen:
+    """A density over a range: a wide bell for the range and one for each point."""
+
+    def __init__(self, r: Range, points: list):
+        self.r = r
+        if r.choices:
+            self.weights = [1 + sum(p == c for p in points) for c in r.choices]
+            return
+        low, high = _ends(r)
+        self.bells = [((low + high) / 2, high - low), *((_scaled(r, p), max(0.05, 1 / (1 + len(points))) * (high - low)) for p in points)]
+
+    def sample(self, rng: random.Random):
+        if self.r.choices:
+            return rng.choices(self.r.choices, self.weights)[0]
+        low, high = _ends(self.r)
+        while True:
+            x = rng.gauss(*rng.choice(self.bells))
+            if low <= x <= high:
+                return _value(self.r, x)
+
+    def log_density(self, value) -> float:
+        if self.r.choices:
+            return math.log(self.weights[self.r.choices.index(value)] / sum(self.weights))
+        x, (low, high) = _scaled(self.r, value), _ends(self.r)
+        mass = lambda m, s: 0.5 * (math.erf((high - m) / s / math.sqrt(2)) - math.erf((low - m) / s / math.sqrt(2)))
+        return math.log(sum(math.exp(-((x - m) ** 2) / (2 * s * s)) / (s * mass(m, s)) for m, s in self.bells) / len(self.bells) + 1e-300)
+
+
+def suggest(space: dict[str, Range], complete: list[tuple[float, dict]], rng: random.Random) -> dict:
+    """A point where good trials are dense against the others; ``complete`` has (loss, params)."""
+    ranked = [p for _, p in sorted(complete, key=lambda t: t[0])]
+    n = min(MOST_GOOD, math.ceil(GOOD * len(ranked)))
     out = {}
     for name, r in space.items():
-        if r.log:
-            value = math.exp(rng.uniform(math.log(r.low), math.log(r.high)))
-        else:
-            value = rng.uniform(r.low, r.high + (1 if r.method == "suggest_int" else 0))
-        out[name] = min(int(r.high), int(value)) if r.method == "suggest_int" else value
+        good, others = (_Parzen(r, [p[name] for p in part if name in p]) for part in (ranked[:n], ranked[n:]))
+        out[name] = max((good.sample(rng) for _ in range(TRIED)), key=lambda v: good.log_density(v) - others.log_density(v))
     return out
 
 
 class Journal:
-    """Finished trials, appended one line at a time; a half-written last line is ignored."""
+    """Trials that ended, appended one line at a time; a half-written last line is ignored.
+
+    Threads and processes of one machine take turns: the file is on the driver, and a lock file
+    beside it is held while a line is written.
+    """
 
     def __init__(self, folder: str, study: str):
         os.makedirs(folder, exist_ok=True)
@@ -56,18 +114,37 @@ class Journal:
         return out
 
     def append(self, trial: dict) -> None:
-        with self.lock, open(self.path, "a", encoding="utf-8") as lines:
-            lines.write(json.dumps(trial) + "\n")
+        with self.lock, self._alone(), open(self.path, "a+b") as lines:
+            end = lines.seek(0, os.SEEK_END)
+            if end and (lines.seek(end - 1), lines.read(1))[1] != b"\n":
+                lines.write(b"\n")  # after a line that a crash cut off
+            lines.write(json.dumps(trial).encode() + b"\n")
             lines.flush()
             os.fsync(lines.fileno())
 
+    @contextlib.contextmanager
+    def _alone(self):
+        try:
+            import fcntl
+        except ImportError:  # no such locks here; threads still take turns
+            yield
+            return
+        with open(f"{self.path}.lock", "a") as held:
+            fcntl.flock(held, fcntl.LOCK_EX)
+            try:
+                yield
+            finally:
+                fcntl.flock(held, fcntl.LOCK_UN)
+
 
 class Study:
     """Runs trials until the journal holds ``num_trials`` finished (complete or pruned) ones.
 
-    Parameters of a trial depend on the seed and its number alone, so a resumed study draws
-    what an uninterrupted one would have drawn. ``objective(params, report)`` returns a loss;
-    ``report(round, loss)`` may stop it, and ``report.trial`` is the trial's number.
+    Parameters of a trial depend on the seed, its number and the complete trials before it, so a
+    study that runs one trial at a time draws the same if it is resumed. ``objective(params,
+    report)`` returns a loss; ``report(round, loss)`` may stop it, and ``report.trial`` is the
+    trial's number. A trial that fails is journalled as such and its error raised; it does not
+    count as finished, and the number is not used again.
     """
 
     def __init__(self, journal: Journal, space: dict[str, Range], tuning: Tuning):
@@ -92,7 +169,9 @@ class Study:
     def _run(self, trial: int, objective, deadline: float) -> None:
         if time.time() >= deadline:
             return
-        params = draw(self.space, random.Random(f"{self.tuning.seed}:{trial}"))
+        rng = random.Random(f"{self.tuning.seed}:{trial}")
+        complete = [(t["value"], t["params"]) for t in self.finished() if t["state"] == "COMPLETE"]
+        params = suggest(self.space, complete, rng) if len(complete) >= self.tuning.num_startup_trials else draw(self.space, rng)
         began, curve = time.time(), {}
         made = {"trial": trial, "params": params, "value": None, "curve": curve}
         try:
@@ -100,11 +179,14 @@ class Study:
             made |= {"state": "COMPLETE", "value": value} | extra
         except Pruned:
             made["state"] = "PRUNED"
+        except Exception as error:
+            self.journal.append(made | {"state": "FAIL", "error": repr(error)[:500], "seconds": time.time() - began})
+            raise
         self.journal.append(made | {"seconds": time.time() - began})
 
     def optimize(self, objective: Callable[[dict, Callable[[int, float], None]], tuple[float, dict]]) -> dict | None:
         """The best complete trial, or None."""
-        done = {t["trial"] for t in self.finished()}
+        done = {t["trial"] for t in self.journal.read()}
         todo = [k for k in range(self.tuning.num_trials + len(done)) if k not in done][: self.remaining()]
         deadline = time.time() + self.tuning.timeout
         with ThreadPoolExecutor(self.tuning.num_jobs if self.tuning.num_jobs > 0 else min(4, os.cpu_count() or 1)) as pool:

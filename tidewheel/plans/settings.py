@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, field
 
 UNITS = ("days", "weeks", "months", "years")
-METHODS = ("suggest_int", "suggest_float")
+METHODS = ("suggest_int", "suggest_float", "suggest_categorical")
 
 
 def _positive(owner: object, *names: str) -> None:
@@ -107,17 +107,24 @@ class Model:
 
 @dataclass(frozen=True)
 class Range:
-    """What a hyperparameter is drawn from."""
+    """What a hyperparameter is drawn from: numbers from low to high, or one of the choices."""
 
     method: str
-    low: float
-    high: float
+    low: float = 0
+    high: float = 0
     log: bool = False
+    choices: tuple = ()
 
     def __post_init__(self):
+        object.__setattr__(self, "choices", tuple(self.choices))
         if self.method not in METHODS:
             raise ValueError(f"method must be one of {METHODS}")
-        if self.low >= self.high:
+        if self.method == "suggest_categorical":
+            if not self.choices:
+                raise ValueError("suggest_categorical needs choices")
+        elif self.choices:
+            raise ValueError(f"{self.method} has no choices")
+        elif self.low >= self.high:
             raise ValueError(f"low ({self.low}) must be less than high ({self.high})")
 
 
