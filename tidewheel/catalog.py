@@ -18,7 +18,7 @@ from tidewheel.operators.geo import holiday_matrix, infer_subdivision
 from tidewheel.operators.target import TargetTransformer
 from tidewheel.plans import features as P
 from tidewheel.plans.settings import SPACE, Features, Range, Tuning
-from tidewheel.sources.holidays import STATES, holiday_calendar, holiday_rows
+from tidewheel.sources.holidays import STATES, holiday_calendar
 from tidewheel.sources.panel import PANEL_SQL, daily_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +76,30 @@ pos AS (
   SELECT *, ln(1 + sales) AS v, CAST(date - DATE '1970-01-01' AS BIGINT) AS n, state_holiday <> '0' AS hol,
          {ISO.format(y="competition_year", w="competition_month")} AS competition_start
   FROM panel WHERE sales > 0)"""
-CALENDAR = "calendar(date, name, subdiv) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n.replace(chr(39), chr(39) * 2)}', '{s}')" for d, n, s in holiday_rows(*YEARS)) + ")"
+# Fixed values, written down apart from the generator: the holidays of the years 1995 to 2001 by
+# day or by days after Easter Sunday, with the states that keep them ('*': all of them). Easter
+# is reckoned by another of the published rules, and Repentance Day as 11 days before the
+# first Sunday of Advent.
+CALENDAR = f"""
+years(y) AS (SELECT * FROM range({YEARS[0]}, {YEARS[1] + 1})),
+golden AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
+epact AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM golden),
+sunday AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM epact),
+moon AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM sunday),
+easter AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS day FROM moon),
+kept(k, name, m, d, after, subdivs) AS (VALUES
+  (1, 'New Year''s Day', 1, 1, NULL, '*'), (2, 'Epiphany', 1, 6, NULL, 'BW BY ST'), (3, 'Labor Day', 5, 1, NULL, '*'), (4, 'Assumption Day', 8, 15, NULL, 'SL'),
+  (5, 'German Unity Day', 10, 3, NULL, '*'), (6, 'Reformation Day', 10, 31, NULL, 'BB MV SN ST TH'), (7, 'All Saints'' Day', 11, 1, NULL, 'BW BY NW RP SL'),
+  (8, 'Christmas Day', 12, 25, NULL, '*'), (9, 'Second Day of Christmas', 12, 26, NULL, '*'),
+  (10, 'Good Friday', NULL, NULL, -2, '*'), (11, 'Easter Sunday', NULL, NULL, 0, 'BB'), (12, 'Easter Monday', NULL, NULL, 1, '*'), (13, 'Ascension Day', NULL, NULL, 39, '*'),
+  (14, 'Whit Sunday', NULL, NULL, 49, 'BB'), (15, 'Whit Monday', NULL, NULL, 50, '*'), (16, 'Corpus Christi', NULL, NULL, 60, 'BW BY HE NW RP SL')),
+held AS (
+  SELECT k, name, subdivs, coalesce(make_date(y, m, d), day + CAST(after AS INT)) AS date FROM easter CROSS JOIN kept
+  UNION ALL SELECT 17, 'Repentance and Prayer Day', 'SN', make_date(y, 12, 24) - CAST(isodow(make_date(y, 12, 24)) % 7 AS INT) - 32 FROM years),
+keepers AS (SELECT unnest(string_split('{' '.join(STATES)}', ' ')) AS subdiv),
+calendar AS (
+  SELECT CAST(date AS DATE) AS date, string_agg(name, '; ' ORDER BY k) AS name, subdiv FROM held JOIN keepers ON subdivs = '*' OR list_contains(string_split(subdivs, ' '), subdiv)
+  GROUP BY date, subdiv)"""
 ORDERED = "states(subdiv, k) AS (VALUES " + ", ".join(f"('{s}', {k})" for k, s in enumerate(STATES)) + ")"
 SUBDIVISION = f"""
 {CALENDAR}, {ORDERED},
@@ -615,6 +638,7 @@ def boosted_trees_forecast(spark, sf_dir):
     parts = []
     for train, test in cut.split(rows):
         parts.append(t.inverse_transform(T.predict(T.fit(train, params, 10), test), out="sales").select(*KEYS, "sales"))
+    rows.unpersist()  # the forecasts read their windows again
     return M.mask_closed(M.join_predictions(pos(spark, sf_dir), M.union_folds(parts)))
 
 
@@ -633,12 +657,13 @@ def random_search_study(spark, sf_dir):
     space = {"max_depth": Range("suggest_int", 2, 4), "learning_rate": SPACE["learning_rate"]}
 
     def objective(params, report):
-        curve = T.cv_curve(rows, cut, params, 3)
-        for k, mean, _ in curve:
-            report(k, mean)
+        curve = T.cv_curve(rows, cut, params, 3, report=report)
         k, best, _ = min(curve, key=lambda c: c[1])
         return best, {"best_n_rounds": k + 1}
 
-    study = Study(Journal(tempfile.mkdtemp(), "study"), space, Tuning(num_trials=3, num_jobs=1))
-    study.optimize(objective)
-    return study.table(spark)
+    with tempfile.TemporaryDirectory() as folder:  # the driver alone writes and reads the journal
+        study = Study(Journal(folder, "study"), space, Tuning(num_trials=3, num_jobs=1))
+        study.optimize(objective)
+        found = study.table(spark)
+    rows.unpersist()
+    return found
