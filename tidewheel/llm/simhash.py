@@ -50,10 +50,11 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, apart: bool = False) -> DataFrame:
     """(doc_id, text_hash, other, fp) for every row of ``docs``; a null text counts as empty.
 
-    ``other`` is a hash of all columns, which tells rows apart that have an id and a text in common.
+    ``apart``: ``other`` is a hash of all columns, which tells rows apart that have an id and a
+    text in common; without it no column but those two is read, and it is 0.
     """
     small_batches(docs.sparkSession)
 
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = [fingerprint_of(t or b"", words) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "other", "fp"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _all_columns(docs).alias("other"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), (_all_columns(docs) if apart else F.lit(0).cast("long")).alias("other"), F.col("text").cast("binary").alias("text"))
     return keyed.mapInArrow(run, "doc_id long, text_hash long, other long, fp long")
 
 
@@ -132,11 +133,11 @@ def linked(spark: SparkSession, counted: DataFrame, scratch: Scratch, distance:
     return named.join(over, named.part == over.node, "left").select(F.col("fp").alias("node"), F.coalesce("component", "part").alias("component"))
 
 
-def _components(docs: DataFrame, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, words: int, distance: int, apart: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, other, fp) of every row, and (fp, first, component) of every fingerprint."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.write(fingerprints(docs, words))
+    fps = scratch.write(fingerprints(docs, words, apart))
     counted = scratch.write(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     parts = scratch.write(linked(spark, counted.select("fp", "n"), scratch, distance))
     scratch.only(fps, counted, parts)
@@ -165,7 +166,7 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     only if more than ``BROADCAST_ROWS`` rows go. Jobs run while the result is planned.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    fps, owners = _components(docs, words, distance)
+    fps, owners = _components(docs, words, distance, apart=True)
     key = ["doc_id", "text_hash", "other"]
     single = fps.groupBy(*key, "fp").agg(F.count("*").alias("n")).withColumn("own", F.struct(F.col("doc_id").isNull().alias("no_id"), *key))
     # the first of each fingerprint, then of each group
