@@ -307,10 +307,11 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     # paragraphs that nothing but equal ones are linked to are a class by themselves
     known = linked.unionByName(met.where("node = lead").select("node").join(label, "node", "left_anti").select("node", F.col("node").alias("class")))
     classed = scratch.write(found.drop("shingles").join(known, "node"))
-    scratch.only(classed)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "paragraph", "uid")
     lead = classed.groupBy("class").agg(F.min(place).alias("lead"), F.count("*").alias("class_size")).where("class_size > 1")
-    lead = lead.select("class", "class_size", F.col("lead.doc_id").alias("class_doc_id"), F.col("lead.paragraph").alias("class_paragraph"), F.col("lead.uid").alias("lead_uid"))
+    # written, so that the join's large classes can be split
+    lead = scratch.write(lead.select("class", "class_size", F.col("lead.doc_id").alias("class_doc_id"), F.col("lead.paragraph").alias("class_paragraph"), F.col("lead.uid").alias("lead_uid")))
+    scratch.only(classed, lead)
     kept = (F.col("uid") == F.col("lead_uid")) & (F.col("paragraph") == F.col("class_paragraph"))
     return classed.join(lead, "class").select("doc_id", "paragraph", "passage", "start", "end", "n_words", "class_doc_id", "class_paragraph", "class_size", kept.alias("kept"))
 
