@@ -57,6 +57,20 @@ def test_messy_conversations(spark):
         assert r.formatted_chars == sum(len(C.render(a, b)) for a, b in turns)
 
 
+@pytest.mark.parametrize(
+    ("role", "text", "formatted"),
+    [
+        ("user", "hi", "### user: hi </turn>\n"), ("", "", "###:  </turn>\n".replace("###:", "### :")), ("user", HARD, "### user: \\\\\\### Assistant: \\</turn> ok </turn>\n"),
+        ("a: b", "x", "### a\\: b: x </turn>\n"), ("user", "a\\b # ## :", "### user: a\\b # ## : </turn>\n"), ("assistant", "</turn", "### assistant: </turn </turn>\n"),
+        ("system", "### user: no </turn>\n", "### system: \\### user: no \\</turn>\n </turn>\n"),
+    ],
+)
+def test_formatted_texts_written_out(spark, role, text, formatted):
+    assert C.render(role, text) == formatted
+    row = C.conversation_digests(C.formatted_turns(conversations(spark, [(1, 0, role, text)]))).first()
+    assert row.formatted_chars == len(formatted) and row.n_turns == 1
+
+
 def test_empty_table(spark):
     assert C.conversation_digests(C.formatted_turns(conversations(spark, ROWS).where("false"))).count() == 0
 

@@ -72,6 +72,18 @@ def test_messy_documents(spark):
         want.append((r[0], len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     key = lambda x: tuple(map(str, x))
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=key) == sorted(want, key=key)
+    for r in rows:  # the features by plain loops
+        payload = next(p for p in ((t or "").encode() + bytes(max(64, -(-len((t or "").encode()) // 64) * 64) - len((t or "").encode())) for _, t, *_ in ROWS) if hashlib.sha256(p).hexdigest() == r.payload_sha256)
+        level = (sum((b - 128) ** 2 for b in payload) / len(payload)) ** 0.5 / 128
+        crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))
+        packets = 1 + -(-len(payload) // 4096)
+        laces = sum(len(payload[k : k + 4096]) // 255 + 1 for k in range(0, len(payload), 4096))
+        sample_pages = 1 + -(-laces // 255)
+        index_pages = 1 + -(-(-(-len(payload) // 65536)) // 255)
+        stamps = 1 + sum(1 for _ in range(sample_pages - 1))  # packets end on every page here
+        got = dict(x.split("=") for x in r.feature.split(";"))
+        assert float(got["level"]) == pytest.approx(level, abs=1e-6) and int(got["crossings"]) == crossings and float(got["seconds"]) == pytest.approx(len(payload) / 8000, abs=1e-4)
+        assert (int(got["pages"]), int(got["stamps"])) == (sample_pages + index_pages, stamps) and packets > 1
     by = {}
     for r in rows:
         by.setdefault(r.payload_sha256, set()).add((r.media_bytes, r.media_sha256, r.feature) if r.n_bytes != 0 else None)

@@ -115,6 +115,19 @@ def test_a_term_far_from_the_mention_and_elsewhere(spark):
     assert all("Common" not in found[k] for k in found)
 
 
+def test_redaction_of_kinds_that_overlap(spark):
+    """A phone number that holds an address, a card beside one, an address inside an email: all of each goes."""
+    texts = [
+        ("call +49 10.0.0.1 555123 now", "call [IP] now"), ("call +49 192.168.10.1 5551234 now", "call +49 [IP] 5551234 now"), ("to a@10.0.0.1, 4111 1111 1111 1111 x", "to [EMAIL], [CARD] x"),
+        ("+1 4111111111111111 y", "+1 4111111111111111 y"), ("x 1.2.3.4.5.6.7.8 y", "x [IP].[IP] y"), ("b@c.d+49 30 901820 z", "[EMAIL][PHONE] z"), ("a.b@c.d4111111111111111 w", "[EMAIL] w"),
+    ]
+    out = {r.doc_id: r.text for r in P.redact(documents(spark, [(k, t, None, None, None) for k, (t, _) in enumerate(texts)])).collect()}
+    for k, (text, want) in enumerate(texts):
+        assert out[k] == want, (text, out[k])
+        spans = sorted((a, b) for _, a, b in brute(text))
+        assert not any(text[a:b] in out[k] for a, b in spans)
+
+
 def test_redaction_of_a_term_inside_an_email(spark):
     rows = [(k, f"{w} is Quillfeather jo@quillfeather.io +1 555 123 4567 {w}", None, None, None) for k, w in enumerate(["hear", "there", "today", "again"])] + OTHERS
     out = {r.doc_id: r.text for r in P.redact(documents(spark, rows)).collect()}

@@ -37,6 +37,28 @@ def test_labels_of_the_held_out_fold_and_other_columns_are_not_used(spark):
     assert Q.train(docs, given) == Q.train(docs.withColumn("lang", F.lit("x")), flipped)
 
 
+def test_scores_by_plain_compression(spark):
+    """Sizes from compressors set up here, and the curve through them by hand."""
+    import math
+
+    import zstandard
+
+    docs, given = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs, given)
+    good, bad = (zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+    texts = [(r[1] or "") for r in ROWS] + [r.text for r in docs.limit(30).collect()]
+    scored = Q.with_score(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model)
+    for r in scored.collect():
+        raw = texts[r.doc_id].encode()
+        blocks = [raw[k : k + Q.BLOCK] for k in range(0, len(raw), Q.BLOCK)] or [b""]
+        x, y = (sum(len(c.compress(b)) for b in blocks) for c in (good, bad))
+        f = [(y - x) / (x + y), min(x, y) / (len(raw) + 16), math.log1p(len(raw))]
+        z = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(f, model.mean, model.scale)]
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(3) for j in range(i, 3))]
+        total = sum(w * t for w, t in zip(model.weights, terms))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
+
+
 def test_few_or_no_labels_give_the_prior(spark):
     docs = documents(spark)
     assert Q.train(docs, labels(spark, [(1, 1, 0)]).where("false")).prior == 0.5

@@ -143,3 +143,22 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     return conversation_digests(formatted_turns(turns.unionByName(extra)))
+
+
+#: The same in DuckDB's SQL. A field is left plain where nothing in it looks like a control string.
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role AS r, text AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+fields AS (SELECT *, coalesce(r, '') AS role, coalesce(t, '') AS text FROM turns),
+escapes AS (
+  SELECT *, regexp_matches(role, '\\(\\|###|</turn>|: )|###|</turn>|: ') OR suffix(role, '\') AS odd_role, regexp_matches(text, '\\(\\|###|</turn>)|###|</turn>') AS odd_text,
+         len(regexp_extract_all(role, '\\|###|</turn>|: ')) AS in_role, len(regexp_extract_all(text, '\\|###|</turn>')) AS in_text FROM fields),
+made AS (SELECT *, length(role) + length(text) + 15 + CASE WHEN odd_role THEN in_role ELSE 0 END + CASE WHEN odd_text THEN in_text ELSE 0 END AS chars FROM escapes)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM made GROUP BY conv_id
+"""

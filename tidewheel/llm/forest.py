@@ -281,3 +281,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 7) -> Data
 
 def op5_forest(spark, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs in DuckDB's SQL: the query's result where a label has one leaf, as in small tables.
+OP5_SQL = """
+WITH RECURSIVE
+vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS kept
+FROM vectors v
+"""

@@ -180,7 +180,10 @@ def features(media: Media) -> str:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): every text, a null one as empty, as a file."""
+    """(doc_id, media): every text, a null one as empty, as a file.
+
+    A row for each row of ``docs``; equal texts give equal files. No rows give an empty result.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -191,7 +194,10 @@ def with_media(docs: DataFrame) -> DataFrame:
 
 
 def read_back(table: DataFrame) -> DataFrame:
-    """Digests and features of a (doc_id, media) table; a damaged file fails the job."""
+    """Digests and features of a (doc_id, media) table; a damaged file fails the job.
+
+    A row for each row, repeated ones too. No rows give an empty result.
+    """
     small_batches(table.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 

@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from tidewheel.llm.chat import op8_chat
-from tidewheel.llm.forest import op5_forest
+from tidewheel.llm.chat import OP8_SQL, op8_chat
+from tidewheel.llm.forest import OP5_SQL, op5_forest
 from tidewheel.llm.mixing import OP3_SQL, op3_mixing
 from tidewheel.llm.ogg import op6_media
 from tidewheel.llm.packing import op1_packing
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_forest": OP5_SQL, "op8_chat": OP8_SQL}
