@@ -35,9 +35,12 @@ def planted(seed=6):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
-def test_planted_repeats(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "limit"), [(4096, 10**6), (1, 0)])
+def test_planted_repeats(spark, monkeypatch, crowd, limit):
+    """Whole or dealt out by fingerprint, and with lists broadcast or shuffled."""
     monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(S, "BROADCAST_ENTRIES", limit)
+    monkeypatch.setattr(S, "BROADCAST_RUNS", limit)
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.without_repeats(docs).collect()}

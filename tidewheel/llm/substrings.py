@@ -34,8 +34,8 @@ BUFFER, POSITION_BITS = 1 << 21, 24
 BATCHES = 4
 #: Entries of one anchor that a task holds at most (about 3 MB); those of an anchor with more are dealt out by fingerprint.
 CROWD = 4096
-#: Documents with entries to extract, and runs to cut, up to which their lists are broadcast, more of them joined by a shuffle.
-BROADCAST_DOCS, BROADCAST_RUNS = 200_000, 500_000
+#: Entries to extract (72 bytes each), and runs to cut (16 bytes and a key), up to which their lists are broadcast, more of them joined by a shuffle.
+BROADCAST_ENTRIES, BROADCAST_RUNS = 1_000_000, 500_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -197,8 +197,8 @@ def _extracted(keyed: DataFrame, entries: DataFrame, n_entries: int, length: int
     kept = [c for c in entries.columns if c not in KEY]
     lists = scratch.write(entries.groupBy(*KEY).agg(F.collect_list(F.struct(*kept)).alias("wanted")))
     right = lists.withColumnsRenamed({c: f"{c}_" for c in KEY})
-    if lists.count() <= BROADCAST_DOCS:
-        right = F.broadcast(right)
+    # texts are not sorted for the join: the lists are its hashed side
+    right = F.broadcast(right) if n_entries <= BROADCAST_ENTRIES else right.hint("shuffle_hash")
     on = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))
     cut = lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int"))
     whole = lambda w: F.struct(*(w[c].alias(c) for c in kept), cut(w["first"], w["first"] + w["at"]).alias("head"), cut(w["first"] + w["at"], w["last"] + (length - 1)).alias("suffix"))
@@ -398,7 +398,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     few = runs.count() <= BROADCAST_RUNS
     scratch.only(runs)
     lists = runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")).withColumnsRenamed({c: f"{c}_" for c in KEY})
-    lists = F.broadcast(lists) if few else lists
+    lists = F.broadcast(lists) if few else lists.hint("shuffle_hash")
     on = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))
     joined = _keyed(docs).join(lists, on, "left").select("doc_id", "text", "runs")
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
