@@ -490,7 +490,7 @@ def cv_fold_rows(spark, sf_dir):
 def naive(df: DataFrame) -> DataFrame:
     """The forecast that nothing changes: y = 0 for each anchor row, at its target day."""
     t = TargetTransformer(H).fit(df)
-    return t.inverse_transform(t.transform(df).withColumn("y", F.lit(0.0)), out="sales").select(*KEYS, "sales")
+    return t.inverse_transform(t.transform(df).withColumn("y", F.lit(0.0)), out="sales", value="sales").select(*KEYS, "sales")
 
 
 @query(

@@ -45,9 +45,17 @@ class TargetTransformer:
             held = held.withColumn("anchor", F.log1p(self.value_col))
         return held.where(F.col(out).isNotNull()).select(*df.columns, *(["anchor"] if self.anchor_col == "anchor" else []), out)
 
-    def inverse_transform(self, df: DataFrame, prediction: str = "y", out: str = "predicted") -> DataFrame:
-        """expm1(anchor + prediction), rounded half to even, with the date moved to day + horizon."""
+    def inverse_transform(self, df: DataFrame, prediction: str = "y", out: str = "predicted", value: str | None = None) -> DataFrame:
+        """expm1(anchor + prediction), rounded half to even, with the date moved to day + horizon.
+
+        ``value`` names the column that the anchor is the log of, where the table has it: what
+        is forecast is then reckoned from the value itself, so that a prediction of 0 gives just
+        that value, and halves stay halves until they are rounded.
+        """
         if self.anchor_col is None:
             raise ValueError("fit first")
-        value = F.bround(F.expm1(F.col(self.anchor_col) + F.col(prediction)), 0).cast("long")
-        return df.withColumn(out, value).withColumn(self.date_col, F.date_add(self.date_col, self.horizon))
+        if value is None:
+            ahead = F.expm1(F.col(self.anchor_col) + F.col(prediction))
+        else:
+            ahead = F.col(value) + (F.col(value) + 1) * F.expm1(prediction)
+        return df.withColumn(out, F.bround(ahead, 0).cast("long")).withColumn(self.date_col, F.date_add(self.date_col, self.horizon))
