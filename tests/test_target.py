@@ -37,3 +37,12 @@ def test_a_forecast_of_no_change_rounds_halves_to_even(spark, panel):
     mine = rows(catalog.forecast_join_closed_mask(spark, folder).collect())
     assert [r[3] for r in mine] == [round(x) for x in HALVES]
     assert mine == rows(con.execute(catalog.ORACLES["forecast_join_closed_mask"]).fetchall())
+
+
+def test_a_union_of_folds_rounds_halves_to_even(spark, panel):
+    days = range(330)
+    folder, con = panel([(1, k, HALVES[k % 10] + k // 10) for k in days])
+    mine = rows(catalog.fold_union(spark, folder).collect())
+    tested = days[-catalog.SPLITS * catalog.H - catalog.H : -catalog.H]
+    assert [r[2] for r in mine] == [round(HALVES[k % 10] + k // 10) for k in tested]
+    assert mine == rows(con.execute(catalog.ORACLES["fold_union"]).fetchall())

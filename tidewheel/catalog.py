@@ -502,7 +502,7 @@ def fold_union(spark, sf_dir):
     t = TargetTransformer(H).fit(df)
     rows = t.transform(df)
     cut = outer_cv(rows)
-    parts = [t.inverse_transform(test.withColumn("y", F.lit(0.0)), out="sales").select(*KEYS, "sales") for _, test in cut.split(rows)]
+    parts = [t.inverse_transform(test.withColumn("y", F.lit(0.0)), out="sales", value="sales").select(*KEYS, "sales") for _, test in cut.split(rows)]
     return M.union_folds([p for p in parts])
 
 
