@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewheel.functions.scalars import libm
 from tidewheel.operators.series import DAY, at_offset, series, with_day
 
 
@@ -32,21 +33,22 @@ class TargetTransformer:
         self.anchor_col = anchor_col or "anchor"
         return self
 
-    def column(self, w: WindowSpec) -> Column:
-        value = F.log1p(self.value_col)
-        return at_offset(value, self.horizon, w) - value
+    def column(self, logged: Column, w: WindowSpec) -> Column:
+        """The target over ``w``, from a column with the log of the value + 1."""
+        return at_offset(logged, self.horizon, w) - logged
 
     def transform(self, df: DataFrame, out: str = "y") -> DataFrame:
         """Adds the target and the anchor, and drops rows whose day + horizon is absent."""
         self._check(df)
         held = with_day(df, self.date_col) if DAY not in df.columns else df
-        held = held.withColumn(out, self.column(series(*self.entity)))
+        held = held.withColumn("_logged", libm("log", F.col(self.value_col) + 1))
+        held = held.withColumn(out, self.column(F.col("_logged"), series(*self.entity)))
         if self.anchor_col == "anchor":
-            held = held.withColumn("anchor", F.log1p(self.value_col))
+            held = held.withColumn("anchor", F.col("_logged"))
         return held.where(F.col(out).isNotNull()).select(*df.columns, *(["anchor"] if self.anchor_col == "anchor" else []), out)
 
     def inverse_transform(self, df: DataFrame, prediction: str = "y", out: str = "predicted", value: str | None = None) -> DataFrame:
-        """expm1(anchor + prediction), rounded half to even, with the date moved to day + horizon.
+        """exp(anchor + prediction) - 1, rounded half to even, with the date moved to day + horizon.
 
         ``value`` names the column that the anchor is the log of, where the table has it: what
         is forecast is then reckoned from the value itself, so that a prediction of 0 gives just
@@ -55,7 +57,7 @@ class TargetTransformer:
         if self.anchor_col is None:
             raise ValueError("fit first")
         if value is None:
-            ahead = F.expm1(F.col(self.anchor_col) + F.col(prediction))
+            ahead = libm("exp", F.col(self.anchor_col) + F.col(prediction)) - 1
         else:
             ahead = F.col(value) + (F.col(value) + 1) * F.expm1(prediction)
         return df.withColumn(out, F.bround(ahead, 0).cast("long")).withColumn(self.date_col, F.date_add(self.date_col, self.horizon))
